@@ -15,7 +15,7 @@ from .common import NO_ID, free_name, sized_broadcast, stored
 
 WORDS, REGISTERS, ROWS, THRESHOLD = 3, 64, 4, 0.7
 #: Bytes of text hashed at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -154,9 +154,17 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(np.sum(1.0 / ((only_a + after) / x + (only_b + before) / y)))
 
 
+def _sliced(batches: Iterator[pd.DataFrame], most: int = CHUNK) -> Iterator[pd.DataFrame]:
+    """The rows of batches in slices of about so many characters, so that the arrays made from them stay small."""
+    for pdf in batches:
+        part = pdf["_x"].str.len().cumsum().to_numpy() // most
+        for lo, hi in zip(at := np.flatnonzero(np.diff(part, prepend=-1)), [*at[1:], len(pdf)]):
+            yield pdf.iloc[lo:hi]
+
+
 def _signatures(registers: int, rows: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _sliced(batches):
             doc, value, weight, key = shingles(list(pdf["_x"]))
             seen = np.unique(doc)
             if not len(seen):
@@ -172,12 +180,12 @@ def _signatures(registers: int, rows: int):
 
 def _shingle_blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each document's shingles, shortened to 32 bits, and their weights, as bytes."""
-    for pdf in batches:
+    for pdf in _sliced(batches):
         doc, value, weight, _ = shingles(list(pdf["_x"]))
         begin = np.searchsorted(doc, np.arange(len(pdf) + 1))
         short, weight = (value >> np.uint64(32)).astype("<u4"), weight.astype("<u4")
         spans = list(zip(begin[:-1].tolist(), begin[1:].tolist()))
-        yield pd.DataFrame({"_d": pdf["_d"], "_t": pdf["_t"], "_v": [short[a:b].tobytes() for a, b in spans], "_w": [weight[a:b].tobytes() for a, b in spans]})
+        yield pd.DataFrame({"_d": pdf["_d"].to_numpy(), "_t": pdf["_t"].to_numpy(), "_v": [short[a:b].tobytes() for a, b in spans], "_w": [weight[a:b].tobytes() for a, b in spans]})
 
 
 def _read(v: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
