@@ -1,6 +1,6 @@
 """The queries of the training-data operators, each over its whole table, and the SQL of those that SQL can express."""
 
-from . import chat_format, embedding_dedup, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding
+from . import chat_format, embedding_dedup, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op5_best_fit_packing": packing.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_toxicity": toxicity.query,
     "op9_sharding": sharding.query,
     "op10_minhash_near_dedup": minhash_dedup.query,
 }
