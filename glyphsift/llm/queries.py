@@ -1,6 +1,6 @@
 """The queries of the training-data operators, each over its whole table, and the SQL of those that SQL can express."""
 
-from . import chat_format, embedding_dedup, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, toxicity
+from . import chat_format, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_chat_format": chat_format.query,
     "op4_quality_rules": quality_rules.query,
     "op5_best_fit_packing": packing.query,
+    "op6_language_id": language_id.query,
     "op7_line_dedup": line_dedup.query,
     "op8_toxicity": toxicity.query,
     "op9_sharding": sharding.query,
