@@ -1,4 +1,6 @@
 """All queries of the library by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import audit_queries, text_queries
+
+QUERIES = text_queries.Q | audit_queries.Q
+ORACLE_SQL = text_queries.SQL | audit_queries.SQL
