@@ -99,7 +99,7 @@ def detect_udf(key: str, window: int = WINDOW, threshold: float = THRESHOLD):
 def parse_token_ids(t: Column) -> Column:
     """Token ids from a JSON array, or one a line in base 10 or 16, as decimals; null where neither fits."""
     json = F.from_json(t, "array<decimal(20,0)>")
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     one = lambda x: F.when(x.rlike("^0[xX][0-9a-fA-F]{1,16}$"), F.conv(F.substr(x, F.lit(3)), 16, 10)).when(x.rlike("^[0-9]{1,20}$"), x).cast("decimal(20,0)")
     parsed = F.transform(lines, one)
     return F.when(F.trim(t).startswith("["), json).when(~F.exists(parsed, lambda x: x.isNull()), parsed)

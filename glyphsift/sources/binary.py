@@ -31,9 +31,11 @@ def png_chunks(data: bytes) -> Iterator[Record]:
         yield kind, at, n + 12, data[at + 8 : at + 8 + n]
         at += n + 12
         if kind == "IEND":
-            break
-    if 8 < at < len(data):
-        yield "trailing", at, len(data) - at, data[at:]
+            if at < len(data):
+                yield "trailing", at, len(data) - at, data[at:]
+            return
+    if at < len(data):
+        yield "truncated", at, len(data) - at, b""
 
 
 def png_text(kind: str, payload: bytes) -> tuple[str, str] | None:
@@ -73,6 +75,8 @@ def jpeg_segments(data: bytes) -> Iterator[Record]:
         if marker == 0xDA:
             return
         at += 2 + n
+    if at < len(data):
+        yield "truncated", at, len(data) - at, b""
 
 
 def riff_chunks(data: bytes) -> Iterator[Record]:

@@ -66,7 +66,7 @@ def batch_items(requests: DataFrame, id_col: str = "id", body_col: str = "body")
 def sitemap_urls(xml: Column) -> Column:
     """The <loc> values of a sitemap; null where it declares a document type or an entity, or is too large."""
     safe = ~xml.rlike("(?i)<!(?:doctype|entity)") & (F.length(xml) <= SITEMAP_CAP)
-    return F.when(safe, F.transform(F.xpath(xml, F.lit('//*[local-name()="loc"]/text()')), F.trim))
+    return F.when(safe, F.transform(F.xpath(xml, F.lit('//*[local-name()="loc"]/text()')), lambda x: F.trim(x)))
 
 
 def is_sitemap_index(xml: Column) -> Column:
