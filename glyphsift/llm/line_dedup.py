@@ -111,10 +111,12 @@ def _later_copies(ranks: DataFrame) -> DataFrame:
 
 def _without(text: Column, gone: Column) -> Column:
     """text without the lines whose numbers, counted among lines with words, are in gone."""
-    lines = F.split(text, "\n")
-    worded = F.filter(F.transform(lines, lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull())
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda g: F.get(worded, g)))
-    return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    # A lambda's argument is computed once; an expression named inside a lambda is computed for each element.
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+    worded = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull())
+    stay = lambda lines, w: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda g: F.get(w, g)))
+    rest = lambda lines, at: F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n")
+    return let(F.split(text, "\n"), lambda lines: let(worded(lines), lambda w: let(stay(lines, w), lambda at: rest(lines, at))))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
