@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def sliced(batches: Iterator[pd.DataFrame], most: int = 1 << 20, text: str = "_x") -> Iterator[pd.DataFrame]:
+    """The rows of batches in slices of about so many characters of text, so that what is made from them stays small."""
+    for pdf in batches:
+        part = pdf[text].str.len().fillna(0).cumsum().to_numpy() // most
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        for lo, hi in zip(at, [*at[1:], len(pdf)]):
+            yield pdf.iloc[lo:hi]

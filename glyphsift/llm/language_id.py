@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Units a direction; bytes after which the state starts anew; windows computed side by side.
 UNITS, WINDOW, SIDE = 8, 64, 1024
 #: Labelled rows that the network learns from, at most, and passes of BATCH windows in training.
@@ -202,8 +204,7 @@ def language_id(df: DataFrame, model: Model | None, id_col: str = "doc_id", text
             if model is None:
                 yield pd.DataFrame({"_i": pdf["_i"], "language": "und", "probability": np.nan, "n_bytes": [len(t.encode("utf-8", "replace")) if isinstance(t, str) else 0 for t in pdf["_x"]], "label_share": np.nan})
                 continue
-            for lo in range(0, len(pdf), 1000):
-                own = pdf.iloc[lo : lo + 1000]
+            for own in sliced([pdf]):
                 length, total, labels = identify(model, list(own["_x"]))
                 best, some = total.argmax(axis=1), np.maximum(length, 1)
                 rows = np.arange(len(own))

@@ -12,12 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, stored
+from .common import sized_broadcast, sliced, stored
 
 #: Length of the longest character n-grams, and of the longest whose counts both classes share.
 ORDER, SHARED = 5, 2
-#: Least length-normalised log-likelihood ratio of a toxic expression, whatever the labels say.
-EVIDENCE = 4.0
+#: A word counts by how far its log-likelihood ratio exceeds MARGIN, to this power; LEAST is the lowest threshold.
+MARGIN, POWER, LEAST = 3.0, 1.5, 0.25
+#: Words whose ratios a task remembers.
+KNOWN = 200_000
 #: n-grams that may be sent to the executors; a larger model raises an error.
 MAX_GRAMS = 20_000_000
 START, END = "\x02", "\x03"
@@ -169,59 +171,66 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def threshold(scores: DataFrame) -> float:
     """The score that parts the classes best: of the thresholds with the most F1 on (score, _toxic), the middle one."""
-    bins = scores.groupBy(F.round(F.col("score") * 4).cast("int").alias("b")).agg(F.sum("_toxic").alias("t"), F.count("*").alias("n")).where(F.col("b").isNotNull()).orderBy(F.desc("b")).collect()
-    total, t, n, best = sum(r["t"] for r in bins), 0, 0, []
-    for r, nxt in zip(bins, [*bins[1:], None]):
+    level = F.round(F.log1p(F.coalesce("score", F.lit(0.0))) * 40).cast("int")
+    bins = scores.groupBy(level.alias("b")).agg(F.sum("_toxic").alias("t"), F.count("*").alias("n")).orderBy(F.desc("b")).collect()
+    total, t, n, cuts = sum(r["t"] for r in bins), 0, 0, []
+    if not total or total == sum(r["n"] for r in bins):
+        return float("inf")
+    for r, nxt in zip(bins, bins[1:]):
         t, n = t + r["t"], n + r["n"]
         # Any cut above the next score and up to this one has the same outcome.
-        best.append((2 * t / (n + total) if total else 0.0, (r["b"] + (nxt["b"] if nxt else r["b"])) / 8))
-    if not total:
-        return float("inf")
-    top = max(f for f, _ in best)
-    cuts = [c for f, c in best if f == top]
-    return max(EVIDENCE, (cuts[0] + cuts[-1]) / 2)
+        cuts.append((2 * t / (n + total), (r["b"] + nxt["b"]) / 80))
+    top = max((f for f, _ in cuts), default=0)
+    good = [c for f, c in cuts if f == top]
+    return max(LEAST, float(np.expm1((good[0] + good[-1]) / 2))) if good else float("inf")
 
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_d, n_words, mean_ratio, score, expression) of each row: its most toxic word's ratio over the root of its length.
+    """(_d, n_words, mean_ratio, score, expression) of each row; nulls without words.
 
-    mean_ratio is the log-likelihood ratio of all its words over all their characters; null without words.
+    mean_ratio is the log-likelihood ratio of all words over all their characters; the score is the sum of what each
+    word's ratio exceeds MARGIN by, to the power POWER, over the root of the number of words; expression is the word
+    with the largest ratio.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[float, float, float]] = {}
-        for pdf in batches:
+        for pdf in sliced(batches):
             own = [words_of(t) if isinstance(t, str) else [] for t in pdf["_x"]]
-            fresh = sorted({w for words in own for w in words} - known.keys())
-            if len(known) + len(fresh) > 400_000:
+            fresh = {w for words in own for w in words}
+            if len(known) > KNOWN:
                 known = {}
-                fresh = sorted({w for words in own for w in words})
-            for lo in range(0, len(fresh), 20_000):
-                part = fresh[lo : lo + 20_000]
+            todo = sorted(fresh - known.keys())
+            for lo in range(0, len(todo), 20_000):
+                part = todo[lo : lo + 20_000]
                 ratio, length = shared.value.score(part)
-                known.update(zip(part, zip((ratio / np.sqrt(length)).tolist(), ratio.tolist(), length.tolist())))
+                known.update(zip(part, zip(ratio.tolist(), length.tolist(), (np.maximum(ratio - MARGIN, 0) ** POWER).tolist())))
             out = []
             for words in own:
-                found = [known[w] for w in words]
-                top = max(zip(found, words), default=None)
-                chars = sum(x[2] for x in found)
-                out.append((len(words), sum(x[1] for x in found) / chars if chars else None, top[0][0] if top else None, top[1] if top else None))
-            yield pd.DataFrame({"_d": pdf["_d"], "n_words": pd.Series([x[0] for x in out], dtype="int32", index=pdf.index), "mean_ratio": pd.Series([x[1] for x in out], dtype="float64", index=pdf.index), "score": pd.Series([x[2] for x in out], dtype="float64", index=pdf.index), "expression": pd.Series([x[3] for x in out], dtype=object, index=pdf.index)})
+                if not words:
+                    out.append((0, None, None, None))
+                    continue
+                ratios, lengths, excess = zip(*map(known.__getitem__, words))
+                top = max(ratios)
+                out.append((len(words), sum(ratios) / sum(lengths), sum(excess) / len(words) ** 0.5, min(w for w, r in zip(words, ratios) if r == top)))
+            columns = list(zip(*out))
+            yield pd.DataFrame({"_d": pdf["_d"].to_numpy(), "n_words": np.array(columns[0], dtype=np.int32), "mean_ratio": np.array(columns[1], dtype=np.float64), "score": np.array(columns[2], dtype=np.float64), "expression": np.array(columns[3], dtype=object)})
 
     rows = df.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_x"))
-    return rows.mapInPandas(score, "_d long, n_words int, mean_ratio double, score double, expression string")
+    out = rows.mapInPandas(score, "_d long, n_words int, mean_ratio double, score double, expression string")
+    return out.select("_d", "n_words", *[F.when(F.col("n_words") > 0, F.col(c)).alias(c) for c in ("mean_ratio", "score")], "expression")
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, n_words, mean_ratio, score, expression, toxic) for each row of df.
 
     Two Kneser-Ney models, of toxic and of ordinary labelled documents, give each word a log-likelihood under either. A
-    document's score is the largest difference of a word of it, over the root of the word's length; it is toxic at the
-    score that parts the labelled documents best, and no less than EVIDENCE. A word counts in whole, and so does a text.
-    Null texts and texts without letters have no words, a null score and aren't toxic. Null ids and repeated rows are
-    scored like others; null labels, and ids with labels of both kinds, don't teach. Without labels of either kind no
-    document is toxic. Other columns of df or labels are ignored. An empty table gives no rows.
+    document's score is the evidence of its words over the root of their number; it is toxic at the score that parts the
+    labelled documents best, and no less than LEAST. Texts and words count whole. Null texts and texts without letters
+    have no words, a null score and aren't toxic. Null ids and repeated rows are scored like others; null labels, and
+    ids with labels of both kinds, don't teach. Without labels of either kind no document is toxic. Other columns of df
+    or labels are ignored. An empty table gives no rows.
     """
     scores = stored(score_documents(df, train(df, labels, id_col, text_col), id_col, text_col), "toxicity")
     cut = threshold(_labelled(scores, labels))

@@ -67,7 +67,7 @@ def test_groups_equal_brute_force(make_docs, prose):
     def find(i):
         return i if root[i] == i else find(root[i])
 
-    pairs = {(i, j) for i in w for j in w if i < j and exact(w[i], w[j]) >= 0.7}
+    pairs = {(i, j) for i in w for j in w if i < j and exact(w[i], w[j]) >= 0.5}
     for i, j in sorted(pairs):
         a, b = find(i), find(j)
         root[max(a, b)] = min(a, b)
