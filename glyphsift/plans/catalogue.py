@@ -1,6 +1,6 @@
 """All queries of the library by name, with their SQL."""
 
-from . import audit_queries, text_queries
+from . import audit_queries, binary_queries, text_queries
 
-QUERIES = text_queries.Q | audit_queries.Q
-ORACLE_SQL = text_queries.SQL | audit_queries.SQL
+QUERIES = text_queries.Q | audit_queries.Q | binary_queries.Q
+ORACLE_SQL = text_queries.SQL | audit_queries.SQL | binary_queries.SQL
