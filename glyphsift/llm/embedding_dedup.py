@@ -62,7 +62,7 @@ def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """All pairs (id_a <= id_b, similarity) of rows whose cosine is at least the threshold, exactly.
 
     Every row is a query and meets every other once: rows fall into tiles, a tile meets itself and the tiles after it,
-    and each meeting is one task. Vectors travel as doubles once per tile meeting of their row or column band.
+    and each meeting is one task. Vectors travel as they are stored, once per tile meeting of their row or column.
     Null ids, null, empty or zero vectors and those with a null, NaN or infinite number have no cosine: no pairs.
     Vectors of different lengths never pair. Repeated rows pair with each other, id_a = id_b where they share the id.
     Other columns are ignored. An empty table gives no rows. The threshold must be positive.
@@ -70,7 +70,8 @@ def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     x = F.col("_v")
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
+    kind = "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast(kind).alias("_v"))
     rows = rows.where(F.col("_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     rows = rows.where(F.exists(x, lambda v: v != 0))
     rows = stored(rows.withColumn("_dim", F.size(x)), "vectors")
