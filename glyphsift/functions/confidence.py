@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEVELS = ("confirmed", "probable", "informational", "likely_false_positive")
+LEVELS = ("probable", "confirmed", "likely_false_positive", "informational")
 CONFIRMED = r"c2pa-related manifest|c2patool reports|digital_?source_?type|jpeg app11 segment|png chunk (?:c2|cabx|jumb|jumd)|softwareagent|trainedalgorithmicmedia"
 INFORMATIONAL = r"^info:|bad segment length|cms generator|customxml parts|format not|not a valid|not fully inspected|svg <metadata> present|svg decode note|truncated chunk|unsupported|xmp packet present"
 PROBABLE = r"ai:|attr:|exif|frontmatter|interesting|jpeg app|json-ld|layer-a|marker:|meta:|pdf-structured|png |xmp"

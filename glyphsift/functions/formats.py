@@ -92,7 +92,7 @@ def kind_by_content_type(content_type: Column) -> Column:
         F.when(ct.contains("html"), "html").when(ct.contains("svg"), "svg").when(office.isNotNull(), office)
         .when(ct.contains("opendocument.text"), "odt").when(ct.contains("markdown"), "markdown").when(ct == "text/plain", "text")
         .when(ct == "application/pdf", "pdf").when(ct == "application/epub+zip", "epub")
-        .when(ct.startswith("image/") & sub.isin("png", "jpeg", "webp", "avif", "heic", "gif", "bmp", "tiff"), sub).when(ct == "image/heif", "heic")
+        .when(ct.startswith("image/") & sub.isin(*"avif bmp gif heic jpeg png tiff webp".split()), sub).when(ct == "image/heif", "heic")
         .when(ct.isin("audio/mp4", "audio/x-m4a", "video/mp4", "video/quicktime"), "mp4")
         .when(ct.isin("audio/x-wav", "audio/wav"), "wav").when(ct.isin("audio/mp3", "audio/mpeg"), "mp3")
     )

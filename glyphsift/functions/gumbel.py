@@ -53,7 +53,7 @@ def uniform(key: bytes, context: tuple[int, ...], token: int) -> float:
     return (int.from_bytes(hmac.digest(seed, struct.pack(">Q", token), "sha256")[:8], "big") + 0.5) / 2.0**64
 
 
-def survival(s: float, n: int) -> float:
+def survival(s, n):
     """P(Gamma(n, 1) >= s) = exp(-s) * sum of s**k / k! for k < n, by logarithms."""
     if n <= 0 or s <= 0:
         return 1.0
@@ -65,7 +65,7 @@ def survival(s: float, n: int) -> float:
 
 def detect(ids: list[int], key: bytes, window: int = WINDOW, threshold: float = THRESHOLD, mask: bool = True) -> tuple:
     """The report on token ids, in the order of REPORT."""
-    seen: set[tuple[int, ...]] = set()
+    seen = set()
     counted = repeated = 0
     total = 0.0
     for i in range(window, len(ids)):

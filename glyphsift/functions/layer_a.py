@@ -171,10 +171,10 @@ def label(ch: str) -> str:
 
 def inspect(text: str, aggressive: bool = False, strip_glue: bool = False) -> list[tuple]:
     """Hits by code point and kind, the most frequent first. Bidirectional controls and spaces are always reported."""
-    places: dict[tuple[int, str], list[int]] = {}
+    places: dict = {}
     for i, ch, _, kind in scan(text, confusables=aggressive, strip_glue=strip_glue, strip_bidi=True):
         places.setdefault((ord(ch), kind), []).append(i)
-    order = sorted(places.items(), key=lambda x: (-len(x[1]), x[0][0]))
+    order = sorted(places.items(), key=lambda hit: (-len(hit[1]), hit[0]))
     return [(c, label(chr(c)), len(at), kind, "informational" if kind == "space" else "probable", at[:10]) for (c, kind), at in order]
 
 

@@ -10,11 +10,11 @@ AI_NAME = r"aigc|ai[-_ ]?generated|anthropic|c2pa|claude|content.?credential|dig
 VENDOR = r"anthropic|chatgpt|claude|copilot|dall.?e|gemini|midjourney|openai|stable.?diffusion|synthid"
 HINTS = r"contentcredentials|digitalsourcetype|algorithmicmedia|ai generated|generated by|c2pa|aigc"
 META_TAG = r"(?i)<meta\b[^>]*>"
-DATA_AI = r"""(?i)\bdata-ai[\w-]*\s*=\s*["'][^"']*["']"""
+DATA_AI = r"""(?i)\bdata-ai[-\w]*\s*=\s*["'][^'"]*["']"""
 JSON_LD = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>.*?</script>"""
 NAME_IS_GENERATOR = r"""(?i)\b(?:name|property|generator)\s*=\s*["']generator["']"""
 DATA_URI = r"""(?i)data:image/[a-z0-9.+-]+(?:;[a-z0-9=._-]+)*,[^\s"'<>)]+"""
-KEY = r"(?m)^([A-Za-z0-9_.-]+)[ \t]*:.*$"
+KEY = r"(?m)^([-.\w]+)[ \t]*:.*$"
 FRONT_MATTER = r"\A---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|\z)"
 #: Front-matter keys that tell of a generator.
 KEYS = (
@@ -77,7 +77,7 @@ def front_matter(text: Column) -> Column:
 def front_matter_keys(text: Column) -> Column:
     """Array of (key, ai, ai_value) of the top-level keys."""
     lines = F.regexp_extract_all(front_matter(text), F.lit(KEY), F.lit(0))
-    key = lambda line: F.regexp_extract(line, r"^([A-Za-z0-9_.-]+)", 1)
+    key = lambda line: F.regexp_extract(line, r"^([-.\w]+)", 1)
     return F.transform(lines, lambda x: F.struct(key(x).alias("key"), (F.lower(key(x)).isin(*KEYS) | _has(key(x), AI_NAME)).alias("ai"), _has(F.regexp_extract(x, r"^[^:]*:([\s\S]*)$", 1), AI_NAME).alias("ai_value")))
 
 
@@ -90,12 +90,12 @@ def clean_markdown_text(text: str) -> str:
     """text without front-matter keys that tell of a generator, nor what is nested below them."""
     import re
 
-    found = re.match(r"---\r?\n(.*?)\r?\n---(?:\r?\n|\Z)", text, re.S)
+    found = re.match(FRONT_MATTER.replace(r"\z", r"\Z"), text)
     if not found:
         return text
     kept, dropping = [], False
     for line in found[1].splitlines():
-        key = re.match(r"([A-Za-z0-9_.-]+)\s*:(.*)", line)
+        key = re.match(r"([-.\w]+)\s*:(.*)", line)
         nested = not line.strip() or line.lstrip().startswith("#") or line[0] in " \t-"
         if not nested:
             dropping = bool(key) and (key[1].lower() in KEYS or bool(re.search(AI_NAME, key[1], re.I) or re.search(AI_NAME, key[2], re.I)))

@@ -8,7 +8,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Callable
-from html import unescape
+from html import escape, unescape
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -305,7 +305,7 @@ def decode_entities(xml: str) -> str:
 
 
 def encode_entities(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return escape(text, quote=False)
 
 
 def inspect_udf():

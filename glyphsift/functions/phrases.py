@@ -17,12 +17,12 @@ PHRASES: tuple[tuple[str, float, str], ...] = (
     ("harnessing the power of", 1.0, S.join([r"\bharness(?:ed|es|ing)?", "the", "power", r"of\b"])),
     ("holistic approach/perspective", 0.9, S.join([r"\bholistic", r"(?:approach|perspective|view)\b"])),
     ("in conclusion", 0.8, S.join([r"\bin", r"conclusion\b[\s,]"])),
-    ("in today's fast-paced world/landscape", 1.4, S.join([r"\bin", "(?:the|today'?s)", rf"(?:(?:digital|ever-evolving|fast-paced|rapidly{S}changing){S})*(?:environment|era|landscape|world)\b"])),
+    ("in today's fast-paced " "world/landscape", 1.4, S.join([r"\bin", "(?:the|today'?s)", rf"(?:(?:digital|ever-evolving|fast-paced|rapidly{S}changing){S})*(?:environment|era|landscape|world)\b"])),
     ("it is important/crucial to note", 0.9, S.join([r"\bit", "is", rf"(?:crucial|essential|important|worth{S}noting)", "to", r"(?:consider|highlight|note|remember)\b"])),
     ("moreover,", 0.6, r"\bmoreover\b[\s,]"),
     ("multifaceted nature/approach", 1.0, S.join([r"\bmultifaceted", r"(?:approach|landscape|nature)\b"])),
     ("navigating the complexities/nuances", 1.0, S.join([r"\bnavigat(?:ed|es|e|ing)", "the", r"(?:complexities|intricacies|nuances)\b"])),
-    ("not only ... but also serves to", 0.8, S.join([r"\bnot", rf"only\b[\s\w,]+\bbut{S}(?:also{S})?(?:acts{S}as|highlights|serves{S}to)\b"])),
+    ("not only ... " "but also serves to", 0.8, S.join([r"\bnot", rf"only\b[\s\w,]+\bbut{S}(?:also{S})?(?:acts{S}as|highlights|serves{S}to)\b"])),
     ("paradigm shift", 0.9, S.join([r"\bparadigm", r"shift\b"])),
     ("plays a pivotal/crucial role", 1.0, S.join([r"\bplays?", "a", "(?:crucial|key|pivotal|vital)", r"role\b"])),
     ("rich tapestry", 1.3, rf"\brich{S}tapestry(?:{S}of)?\b"),

@@ -96,9 +96,9 @@ def riff_chunks(data: bytes) -> Iterator[Record]:
         at += 8 + n + (n & 1)
 
 
-def iso_boxes(data: bytes, start: int = 0, end: int | None = None, above: str = "", depth: int = 0) -> Iterator[Record]:
+def iso_boxes(data: bytes, at: int = 0, end: int | None = None, above: str = "", depth: int = 0) -> Iterator[Record]:
     """Boxes with their path, such as moov/udta; 64-bit sizes; containers are walked inside."""
-    at, end = start, len(data) if end is None else end
+    end = len(data) if end is None else end
     while at + 8 <= end:
         n, head = int.from_bytes(data[at : at + 4], "big"), 8
         name = above + data[at + 4 : at + 8].decode("latin-1")
@@ -164,7 +164,7 @@ def tiff_tags(data: bytes) -> Iterator[Record]:
     word, count, entry = ("Q", "Q", 20) if big else ("I", "H", 12)
     read = lambda f, at: struct.unpack_from(order + f, data, at)[0] if at + struct.calcsize(f) <= len(data) else 0
     todo, seen = [read(word, 8 if big else 4)], set()
-    width = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
+    width = {kind: int(n) for kind, n in enumerate("0112481124848400888")}  # bytes of an item by its type
     while todo and len(seen) < IFD_CAP:
         at = todo.pop(0)
         if not at or at in seen or at >= len(data):
