@@ -23,7 +23,7 @@ STYLES = (
     {"system": "### Context:\n", "user": "### Question:\n", "assistant": "### Answer:\n"},
     {"system": "[system] ", "user": "[user] ", "assistant": "[bot] "},
 )
-#: One turn in so many loses its marker in those transcripts, and one in so many keeps a null role's missing one.
+#: One turn in so many is without its marker in those transcripts.
 UNMARKED = 6
 MARKER = re.compile(r"^\s*(?:#{1,6}\s*|\*\*|[\[<(]\|?)?([A-Za-z]{1,12})(?:\*\*)?\s*(?::\*\*|:|\|?[\])>]:?)\s*")
 CONTROL = re.compile(r"<(\\*\|)")

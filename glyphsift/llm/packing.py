@@ -15,7 +15,7 @@ from .common import stored
 
 CAPACITY = 2048
 #: Parts of each size class in which pieces are ranked side by side.
-RANK_PARTS = 64
+RANK_PARTS = 1024
 Pattern = tuple[tuple[int, int], ...]
 
 
