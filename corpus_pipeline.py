@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsift.llm import line_dedup, minhash_dedup, mixing, packing, quality_rules
-from glyphsift.llm.common import sized_broadcast, stored
+from glyphsift.llm.common import free_name, sized_broadcast, stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mixture takes."""
     chosen = stored(mixing.mix(docs), "mixture")
-    copies = chosen.groupBy("doc_id", "text_key").agg(F.count("*").cast("int").alias("_copies"))
-    copies = sized_broadcast(copies.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), chosen.count())
-    own = docs.select(*docs.columns, F.md5(F.col("text").cast("binary")).alias("_key0"))
-    joined = own.join(copies, own["doc_id"].eqNullSafe(copies["_id"]) & (own["_key0"] == copies["_key"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    i, k, n, own, copy = (free_name(docs, x) for x in ("_id", "_key", "_copies", "_own", "_copy"))
+    copies = chosen.groupBy(F.col("doc_id").alias(i), F.col("text_key").alias(k)).agg(F.count("*").cast("int").alias(n))
+    copies = sized_broadcast(copies, chosen.count())
+    keyed = docs.withColumn(own, F.md5(F.col("text").cast("string").cast("binary")))
+    joined = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies[i]) & (keyed[own] == copies[k]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

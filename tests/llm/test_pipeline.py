@@ -1,6 +1,8 @@
 import json
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from glyphsift.llm.packing import CAPACITY
 
@@ -37,3 +39,14 @@ def test_stages_on_a_small_corpus(spark, make_docs, prose, tmp_path):
 def test_an_empty_corpus(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, odd_docs):
+    names = ("_id", "_key", "_copies", "_d", "_t", "_kept", "kept", "_x", "shard")
+    docs = odd_docs.withColumns({n: F.lit(1) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        rows, plain = stage(spark, docs, ""), stage(spark, odd_docs, "")
+        assert rows.count() == plain.count(), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert rows.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), "").count() == 0
