@@ -9,12 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import sliced
 
 #: Units a direction; bytes after which the state starts anew; windows computed side by side.
 UNITS, WINDOW, SIDE = 8, 64, 1024
-#: Labelled rows that the network learns from, at most, and passes of BATCH windows in training.
+#: Labelled texts that the network learns from, at most (but one of each language), and passes of BATCH windows in training.
 TRAIN_ROWS, STEPS, BATCH, SEED = 2000, 250, 256, 7
 
 
@@ -179,13 +180,33 @@ def identify(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
     return length, total, labels
 
 
+def share(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of each language's texts are learned from: all, or as many as rows leaves each alike, one at least."""
+    left, out = max(0, rows), {}
+    for i, name in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[name] = max(1, min(counts[name], left // (len(counts) - i)))
+        left = max(0, left - out[name])
+    return out
+
+
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
-    """A network of at most ``rows`` labelled rows, chosen by hash of the text; None where no row has a language."""
+    """A network of at most ``rows`` labelled texts of the whole table; None where no row has a language.
+
+    Of each language, the texts of smallest hash: an equal share of ``rows``, all where there are fewer, whose rest goes
+    to the others. No language is left out: where there are more languages than rows, each has one text. Equal texts of
+    a language count once.
+    """
     text, lang = F.col(text_col).cast("string").alias("x"), F.col(lang_col).cast("string").alias("l")
-    told = df.select(text, lang).where((F.length("x") > 0) & F.col("l").isNotNull())
-    sample = told.where(F.pmod(F.xxhash64("x"), F.lit(16)) == 0).limit(rows).collect() or told.limit(rows).collect()
+    told = df.select(text, lang).where((F.length("x") > 0) & F.col("l").isNotNull()).withColumn("h", F.xxhash64("x"))
+    ranked = told.select("l", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= max(1, rows))
+    hashes = {r["l"]: sorted(r["h"]) for r in ranked.groupBy("l").agg(F.collect_list("h").alias("h")).collect()}
+    if not hashes:
+        return None
+    upto = [(name, hashes[name][n - 1]) for name, n in share({name: len(h) for name, h in hashes.items()}, rows).items()]
+    limits = F.broadcast(df.sparkSession.createDataFrame(upto, "l string, most long"))
+    sample = told.join(limits, "l").where(F.col("h") <= F.col("most")).select("x", "l").distinct().collect()
     sample = sorted((r["x"], r["l"]) for r in sample)
-    return fit([x for x, _ in sample], [n for _, n in sample]) if sample else None
+    return fit([x for x, _ in sample], [n for _, n in sample])
 
 
 def language_id(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,3 +65,23 @@ def test_odd_rows(spark, odd_docs, model):
     assert lid.train(odd_docs.where("lang is null")) is None
     clash = spark.createDataFrame([("a", "the and", 1, "x")], "doc_id string, text string, language int, _i string")
     assert lid.language_id(clash, model).columns == ["doc_id", "language", "probability", "n_bytes", "label_share"]
+
+
+def test_share():
+    assert lid.share({"aa": 3000, "bb": 900, "cc": 5}, 2000) == {"aa": 1095, "bb": 900, "cc": 5}
+    assert lid.share({"aa": 7, "bb": 3}, 2000) == {"aa": 7, "bb": 3}
+    assert lid.share({"aa": 7, "bb": 3, "cc": 1}, 2) == {"aa": 1, "bb": 1, "cc": 1}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(lid, "fit", lambda texts, names: seen.update(texts=texts, names=names) or sorted(set(names)))
+    rows = [(text("aa", i), "aa") for i in range(300)] + [(text("bb", i), "bb") for i in range(40)] + [(text("cc", 1), "cc")] * 3
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert lid.train(df) == ["aa", "bb", "cc"]
+    assert sorted(zip(seen["texts"], seen["names"])) == sorted(set(rows))
+    assert lid.train(df.sort("lang").coalesce(1), rows=90) == ["aa", "bb", "cc"]
+    assert [seen["names"].count(n) for n in SYLLABLES] == [49, 40, 1]
+    first = seen.copy()
+    lid.train(df.repartition(7), rows=90)
+    assert seen == first
