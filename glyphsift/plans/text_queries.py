@@ -169,6 +169,8 @@ r as (select *, row_number() over (partition by doc_id order by s desc, idx) n f
 
 # Keyed watermark replay
 add("token_ids", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(gumbel.tokens(F.left("text", F.lit(200)))).alias("pos", "tok")).select("doc_id", "pos", gumbel.token_hex(F.col("tok")).alias("id_hex")), "select doc_id, generate_subscripts(t, 1)::int - 1 pos, substr(sha256(unnest(t)), 1, 16) id_hex from (select doc_id, regexp_extract_all(lower(left(text, 200)), '[a-z0-9]+') t from documents)")
+# token_ids and its SQL stop at 200 characters; the digest covers all ids of the whole text.
+add("token_digest", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", gumbel.tokens(F.col("text")).alias("t")).select("doc_id", F.array_size("t").alias("tokens"), F.sha2(F.array_join(F.transform("t", gumbel.token_hex), ""), 256).alias("digest")), "select doc_id, len(t)::int tokens, sha256(array_to_string(list_transform(t, lambda x: substr(sha256(x), 1, 16)), '')) digest from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') t from documents)")
 add("gumbel_masking_counts", lambda s, d: gumbel.masking(s.read.parquet(f"{d}/documents.parquet"), "doc_id", "text"), r"""
 with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents),
 c as (select doc_id, len(w) n, list_transform(range(5, len(w) + 1), lambda i: array_to_string(w[i - 4:i - 1], ' ')) ctx from t)

@@ -32,3 +32,21 @@ def test_some_queries_equal_their_sql(spark, name):
     want = con.execute(f"select {', '.join(cols)} from ({catalogue.ORACLE_SQL[name]})").fetchall()
     got = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
     assert sorted(got, key=repr) == sorted((tuple(map(plain, r)) for r in want), key=repr)
+
+
+def test_token_digest_covers_whole_texts(spark, tmp_path):
+    import hashlib
+
+    import duckdb
+
+    from glyphsift.plans import catalogue
+
+    texts = {1: "Word one " * 40 + "ends here", 2: "Word one " * 40 + "ends there", 3: "", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.tokens, r.digest) for r in catalogue.QUERIES["token_digest"](spark, str(tmp_path)).collect()}
+    ids = "".join(hashlib.sha256(t.encode()).hexdigest()[:16] for t in texts[1].lower().split())
+    assert got[1] == (82, hashlib.sha256(ids.encode()).hexdigest()) and got[2][0] == 82 and got[2] != got[1]
+    assert got[3] == (0, hashlib.sha256(b"").hexdigest()) and got[4] == (None, None)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {i: (n, x) for i, n, x in con.execute(catalogue.ORACLE_SQL["token_digest"]).fetchall()} == got
