@@ -87,7 +87,10 @@ def viterbi(model: Model, seen: np.ndarray) -> np.ndarray:
 
 
 def parse(model: Model, text: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a transcript. A turn begins where the model says so, or where the role changes."""
+    """(role, text) of each turn of a transcript. A turn begins where the model says so, or where the role changes.
+
+    A marker goes only where it begins a turn of its role; elsewhere a line that looks marked is text and stays whole.
+    """
     lines = re.split("\r\n|\r|\n", text)
     while lines and not lines[0].strip():
         lines.pop(0)
@@ -97,11 +100,12 @@ def parse(model: Model, text: str) -> list[tuple[str, str]]:
         return []
     seen, texts = features(lines)
     turns: list[tuple[str, list[str]]] = []
-    for state, line in zip(viterbi(model, seen), texts):
+    for state, line, bare, marked in zip(viterbi(model, seen), lines, texts, seen[:, 0]):
         role, begins = STATES[state]
-        if begins or not turns or turns[-1][0] != role:
+        begins = begins or not turns or turns[-1][0] != role
+        if begins:
             turns.append((role, []))
-        turns[-1][1].append(line)
+        turns[-1][1].append(bare if begins and marked == ROLES.index(role) + 1 else line)
     return [(role, body) for role, own in turns if (body := "\n".join(own).strip())]
 
 

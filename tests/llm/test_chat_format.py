@@ -60,3 +60,12 @@ def test_odd_rows(spark, prose):
     empty = df.limit(0)
     assert chat_format(transcripts(empty), train(empty)).collect() == []
     assert _turns(df, "conv_id", "turn", "role", "text").count() == 25
+
+
+def test_lines_that_only_look_marked_stay_whole(monkeypatch):
+    from glyphsift.llm import chat_format as cf
+
+    states = [cf.STATES.index(s) for s in [("user", True), ("user", False), ("assistant", True), ("assistant", False), ("user", True)]]
+    monkeypatch.setattr(cf, "viterbi", lambda model, seen: states)
+    text = "User: list them\na) first\nAnswer: 42\nContext: given\nAnswer: is it?"
+    assert cf.parse(None, text) == [("user", "list them\na) first"), ("assistant", "42\nContext: given"), ("user", "Answer: is it?")]
