@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from .common import stored
 
 SHARDS, VNODES, EPSILON = 64, 128, 0.05
-RING = 1 << 32
+#: Rows of one key that a task writes at most, where a repeated key parts between shards.
+CHUNK = 1 << 20
 
 
 def ring(shards: int, vnodes: int) -> tuple[list[int], list[int]]:
@@ -39,7 +40,7 @@ def settle(counts: dict[int, int], owners: list[int], limit: int) -> list[tuple[
     left, out = {s: limit for s in set(owners)}, []
     waiting = [(arc, 0, n, arc) for arc, n in sorted(counts.items()) if n]
     while waiting:
-        nxt = []
+        over = []
         for arc, lo, hi, node in waiting:
             shard = owners[node]
             take = min(hi - lo, left[shard])
@@ -47,11 +48,14 @@ def settle(counts: dict[int, int], owners: list[int], limit: int) -> list[tuple[
                 out.append((arc, lo, lo + take, shard))
                 left[shard] -= take
             if lo + take < hi:
-                step = (node + 1) % len(owners)
-                while left[owners[step]] == 0:  # a full shard stays full; passing it now or later is the same
-                    step = (step + 1) % len(owners)
-                nxt.append((arc, lo + take, hi, step))
-        waiting = nxt
+                over.append((arc, lo + take, hi, node))
+        # Full shards are passed once the round is over: within it, who knocks where is settled by its beginning.
+        waiting = []
+        for arc, lo, hi, node in over:
+            node = (node + 1) % len(owners)
+            while left[owners[node]] == 0:
+                node = (node + 1) % len(owners)
+            waiting.append((arc, lo, hi, node))
     return out
 
 
@@ -61,8 +65,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnod
     A key's home is the first virtual node clockwise of its hash; overflowing keys continue clockwise to the next shard
     with room. Within an arc, keys rank by hash, then key. A null key is a key of its own hash. Repeated keys count each
     and may part when their shard fills between them. Other columns are ignored. An empty table gives no rows.
-    Only counts per arc reach the driver, at most shards * vnodes of them; the ranks of keys are found for the arcs that
-    overflow alone.
+    Only counts per arc reach the driver, at most shards * vnodes of them. The ranks of keys are found for the arcs that
+    overflow alone, among distinct keys with their counts: a key that is in every row is one row there.
     """
     if shards < 1 or vnodes < 1 or epsilon < 0:
         raise ValueError("shards and vnodes must be positive, epsilon not negative")
@@ -98,17 +102,56 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnod
     def shard_of(arc: pd.Series) -> pd.Series:
         return pd.Series(table[arc.to_numpy()])
 
-    @F.pandas_udf("int")
-    def ranked_shard(arc: pd.Series, rank: pd.Series) -> pd.Series:
-        return pd.Series([split[a][1][bisect.bisect_right(split[a][0], r - 1) - 1] for a, r in zip(arc, rank)], dtype="int32")
-
-    is_split = F.col("_arc").isin(sorted(split)) if len(split) < 200 else shard_of("_arc") < 0
-    plain = keys.where(~is_split).withColumn("shard", shard_of("_arc"))
-    rank = F.row_number().over(Window.partitionBy("_arc").orderBy("_h", "_k"))
-    cut = keys.where(is_split).withColumn("_r", rank).withColumn("shard", ranked_shard("_arc", "_r")).drop("_r") if split else None
-    both = plain.unionByName(cut) if cut is not None else plain
-    return both.withColumn("home_shard", home_of("_arc")).select(F.col("_k").alias(key), "shard", "home_shard", (F.col("shard") != F.col("home_shard")).alias("moved"))
+    @F.pandas_udf("array<struct<shard:int,n:long>>")
+    def shares(arc: pd.Series, start: pd.Series, count: pd.Series) -> pd.Series:
+        out = []
+        for a, lo, n in zip(arc.tolist(), start.tolist(), count.tolist()):
+            at, own = split[a], []
+            i = bisect.bisect_right(at[0], lo) - 1
+            while n:
+                end = at[0][i + 1] if i + 1 < len(at[0]) else lo + n
+                take = min(n, end - lo)
+                own.append({"shard": at[1][i], "n": take})
+                lo, n, i = lo + take, n - take, i + 1
+            out.append(own)
+        return pd.Series(out, dtype=object)
+
+    plain = keys.withColumn("shard", shard_of("_arc"))
+    if split:
+        is_split = F.col("_arc").isin(sorted(split)) if len(split) < 200 else shard_of("_arc") < 0
+        plain = keys.where(~is_split).withColumn("shard", shard_of("_arc"))
+        distinct = keys.where(is_split).groupBy("_arc", "_h", "_k").agg(F.count("*").alias("_n"))
+        before = Window.partitionBy("_arc").orderBy("_h", "_k").rowsBetween(Window.unboundedPreceding, -1)
+        cut = distinct.withColumn("_s", shares("_arc", F.coalesce(F.sum("_n").over(before), F.lit(0)), "_n"))
+        cut = cut.select("_k", "_h", "_arc", F.explode("_s").alias("_s")).select("_k", "_h", "_arc", "_s.shard", "_s.n")
+        # A row for each row of the table; those of a hot key are written by several tasks.
+        cut = cut.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+        cut = cut.repartition("_h", "_c").withColumn("_c", F.explode(F.sequence(F.col("_c"), F.least(F.col("_c") + CHUNK, F.col("n")) - 1)))
+        plain = plain.unionByName(cut.select(*plain.columns))
+    return plain.withColumn("home_shard", home_of("_arc")).select(F.col("_k").alias(key), "shard", "home_shard", (F.col("shard") != F.col("home_shard")).alias("moved"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
+
+
+def homes_query(spark, sf_dir: str) -> DataFrame:
+    """What SQL can check of it: each key's home, and that no shard is over its bound."""
+    out = query(spark, sf_dir)
+    loads = out.groupBy("shard").agg(F.count("*").alias("n"))
+    limit = F.ceil(F.col("rows") * round((1 + EPSILON) * 100) / (100 * SHARDS))
+    fits = loads.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).select((F.col("most") <= limit).alias("within_bound"))
+    return out.select("doc_id", "home_shard").crossJoin(F.broadcast(fits))
+
+
+HOMES_ORACLE = f"""
+with points as (
+  select s, v, ('0x' || left(md5('shard-' || s || '-' || v), 8))::bigint p from range({SHARDS}) a(s), range({VNODES}) b(v)
+), ring as (
+  select p, arg_min(s, s * {VNODES} + v) s from points group by p
+  union all select min(p) + 4294967296, arg_min(s, (p, s, v)) from points
+), keys as (
+  select doc_id, ('0x' || left(md5('key-' || coalesce(doc_id::varchar, chr(0) || 'null')), 8))::bigint h from documents
+)
+select k.doc_id, r.s::int home_shard, true within_bound from keys k asof join ring r on k.h <= r.p
+"""

@@ -60,6 +60,15 @@ def test_balance_and_limited_movement(spark):
     assert sum(a[i].shard != b[i] for i in b) < 1000  # a plain modulus would move about 2,700
 
 
+def test_one_key_in_every_row(spark, monkeypatch):
+    monkeypatch.setattr("glyphsift.llm.sharding.CHUNK", 7)
+    rows = spark.createDataFrame([(None,)] * 500 + [(i,) for i in range(100)], "doc_id long")
+    got = assign_shards(rows, shards=5, vnodes=8).collect()
+    loads = Counter(r.shard for r in got)
+    assert len(got) == 600 and sum(r.doc_id is None for r in got) == 500
+    assert max(loads.values()) <= capacity(600, 5, 0.05) and len({r.home_shard for r in got if r.doc_id is None}) == 1
+
+
 def test_odd_keys(spark, odd_docs):
     got = assign_shards(odd_docs, shards=3, vnodes=4)
     assert got.count() == odd_docs.count()
