@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import sliced
+from .common import spans
 
-#: Units a direction; bytes after which the state starts anew; windows computed side by side.
-UNITS, WINDOW, SIDE = 8, 64, 1024
+#: Units a direction; bytes of a window; bytes read before and after a window to bring the states in; windows side by side.
+UNITS, WINDOW, CONTEXT, SIDE = 8, 112, 16, 640
+#: Bytes of a window in training.
+LEARNED = 64
 #: Labelled texts that the network learns from, at most (but one of each language), and passes of BATCH windows in training.
 TRAIN_ROWS, STEPS, BATCH, SEED = 2000, 250, 256, 7
 
@@ -78,8 +80,22 @@ def _unroll(d: Direction, x: np.ndarray, steps: list[tuple[np.ndarray, ...]], dh
 
 
 def _windows(data: bytes) -> np.ndarray:
-    padded = np.frombuffer(data + b" " * (-len(data) % WINDOW), dtype=np.uint8)
-    return padded.reshape(-1, WINDOW)
+    padded = np.frombuffer(data + b" " * (-len(data) % LEARNED), dtype=np.uint8)
+    return padded.reshape(-1, LEARNED)
+
+
+def _in_context(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of all texts with CONTEXT bytes of their own text on either side, blanks beyond its ends; the text of
+    each, and how many of its WINDOW bytes are text."""
+    cuts = np.array([-(-len(b) // WINDOW) for b in data], dtype=np.int64)
+    gap = b" " * CONTEXT
+    stream = np.frombuffer(b"".join(gap + b + b" " * (-len(b) % WINDOW) + gap for b in data if b) or gap, dtype=np.uint8)
+    owner = np.repeat(np.arange(len(data)), cuts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    sizes = np.where(cuts > 0, cuts * WINDOW + 2 * CONTEXT, 0)
+    start = (np.cumsum(sizes) - sizes)[owner] + place * WINDOW
+    x = np.lib.stride_tricks.sliding_window_view(stream, WINDOW + 2 * CONTEXT)[start] if len(owner) else np.zeros((0, WINDOW + 2 * CONTEXT), np.uint8)
+    return x, owner, np.minimum(WINDOW, np.array([len(b) for b in data], dtype=np.int64)[owner] - place * WINDOW)
 
 
 def fit(texts: list[str], names: list[str], steps: int = STEPS, seed: int = SEED) -> Model:
@@ -158,17 +174,11 @@ def identify(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
     data = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
     length = np.array([len(b) for b in data], dtype=np.int64)
     total, labels = np.zeros((len(data), k)), np.zeros((len(data), k), dtype=np.int64)
-    cuts = -(-length // WINDOW)
-    owner = np.repeat(np.arange(len(data)), cuts)
-    if not len(owner):
-        return length, total, labels
-    x = np.frombuffer(b"".join(b + b" " * (-len(b) % WINDOW) for b in data), dtype=np.uint8).reshape(-1, WINDOW)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    valid = np.minimum(WINDOW, length[owner] - place * WINDOW)
+    x, owner, valid = _in_context(data)
     steps = np.arange(WINDOW)[:, None]
     for lo in range(0, len(owner), SIDE):
         own, own_valid = owner[lo : lo + SIDE], valid[lo : lo + SIDE]
-        p = position_probabilities(model, x[lo : lo + SIDE])
+        p = position_probabilities(model, x[lo : lo + SIDE])[CONTEXT:-CONTEXT]
         label = p.argmax(axis=1)
         inside = steps < own_valid
         if own_valid.min() < WINDOW:
@@ -212,35 +222,46 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
 def language_id(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, language, probability, n_bytes, label_share) for each row of df.
 
-    The network labels every byte of the whole text, in windows of WINDOW bytes; the document's probabilities are the
-    means over its positions; language is the most probable (of equals the first by name), label_share how many of the
-    positions have it as label. Null and empty texts, and all without a model, are 'und' with nulls. Null ids and
-    repeated rows are handled like others; other columns are ignored; an empty table gives no rows.
+    The network labels every byte of the whole text, in windows of WINDOW bytes whose states begin CONTEXT bytes before
+    and after them; beyond that a byte's label can't see. The document's probabilities are the means over its positions;
+    language is the most probable (of equals the first by name), label_share how many of the positions have it as label.
+    Null and empty texts, and all without a model, are 'und' with nulls. Null ids, ids of any type and repeated rows are
+    handled like others; other columns are ignored; an empty table gives no rows.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = held.value
-        for pdf in batches:
-            if model is None:
-                yield pd.DataFrame({"_i": pdf["_i"], "language": "und", "probability": np.nan, "n_bytes": [len(t.encode("utf-8", "replace")) if isinstance(t, str) else 0 for t in pdf["_x"]], "label_share": np.nan})
-                continue
-            for own in sliced([pdf]):
-                length, total, labels = identify(model, list(own["_x"]))
-                best, some = total.argmax(axis=1), np.maximum(length, 1)
-                rows = np.arange(len(own))
-                yield pd.DataFrame({
-                    "_i": own["_i"].to_numpy(),
-                    "language": np.where(length > 0, np.array(model.names, dtype=object)[best], "und"),
-                    "probability": np.where(length > 0, total[rows, best] / some, np.nan),
-                    "n_bytes": length,
-                    "label_share": np.where(length > 0, labels[rows, best] / some, np.nan),
-                })
-
-    kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_x"))
-    out = rows.mapInPandas(label, f"_i {kind}, language string, probability double, n_bytes long, label_share double")
-    return out.select(F.col("_i").alias(id_col), "language", F.nanvl("probability", F.lit(None)).alias("probability"), "n_bytes", F.nanvl("label_share", F.lit(None)).alias("label_share"))
+    @F.pandas_udf("language string, probability double, n_bytes long, label_share double")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.concat([_labelled(held.value, texts.iloc[lo:hi]) for lo, hi in spans(texts)] or [_labelled(None, texts)], ignore_index=True)
+
+    out = df.select(F.col(id_col).alias("_i"), label(F.col(text_col).cast("string")).alias("_r"))
+    real = lambda c: F.nanvl(F.col(c), F.lit(None)).alias(c.split(".")[1])
+    return out.select(F.col("_i").alias(id_col), "_r.language", real("_r.probability"), "_r.n_bytes", real("_r.label_share"))
+
+
+def _labelled(model: Model | None, texts: pd.Series) -> pd.DataFrame:
+    if model is None:
+        return pd.DataFrame({"language": "und", "probability": np.nan, "n_bytes": [len(t.encode("utf-8", "replace")) if isinstance(t, str) else 0 for t in texts], "label_share": np.nan})
+    length, total, labels = identify(model, list(texts))
+    best, some, rows = total.argmax(axis=1), np.maximum(length, 1), np.arange(len(texts))
+    return pd.DataFrame({
+        "language": np.where(length > 0, np.array(model.names, dtype=object)[best], "und"),
+        "probability": np.where(length > 0, total[rows, best] / some, np.nan),
+        "n_bytes": length,
+        "label_share": np.where(length > 0, labels[rows, best] / some, np.nan),
+    })
+
+
+def bytes_query(spark, sf_dir: str) -> DataFrame:
+    """What SQL can check of it: how many bytes of each document were labelled, and whether the answer is a language of the table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    known = F.broadcast(docs.select(F.col("lang").alias("language")).distinct().withColumn("known", F.lit(True)))
+    out = query(spark, sf_dir).join(known, "language", "left")
+    return out.select("doc_id", "n_bytes", (F.col("known").isNotNull() | (F.col("language") == "und")).alias("known_language"))
+
+
+BYTES_ORACLE = "select doc_id, coalesce(octet_length(encode(text)), 0)::bigint n_bytes, true known_language from documents"
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,6 +36,25 @@ def test_fast_inference_equals_the_trained_network(model):
     assert np.allclose(lid.position_probabilities(model, x), p.transpose(0, 2, 1), atol=1e-4)
 
 
+def test_bytes_see_their_neighbours_across_windows(model):
+    data = [text("bb", 7, 120).encode(), b"", b"x", text("aa", 8, 90).encode()]
+    x, owner, valid = lid._in_context(data)
+    for i, own in enumerate(data):
+        rows = np.flatnonzero(owner == i)
+        assert b"".join(x[r, lid.CONTEXT : lid.CONTEXT + valid[r]].tobytes() for r in rows) == own
+        for a, b in zip(rows, rows[1:]):
+            assert (x[a, -lid.CONTEXT :] == x[b, lid.CONTEXT : 2 * lid.CONTEXT]).all() and (x[b, : lid.CONTEXT] == x[a, -2 * lid.CONTEXT : -lid.CONTEXT]).all()
+    whole = lid.position_probabilities(model, np.frombuffer(data[0], dtype=np.uint8)[None, :])[:, :, 0]
+    parts = np.concatenate([lid.position_probabilities(model, x[r : r + 1])[lid.CONTEXT : lid.CONTEXT + valid[r], :, 0] for r in np.flatnonzero(owner == 0)])
+    assert (whole.argmax(axis=1) == parts.argmax(axis=1)).mean() > 0.97
+
+
+def test_large_ids_beside_null(spark, model):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(None, "the and"), (big, "eau ment")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in lid.language_id(docs, model).collect()} == {None, big}
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     d = lid.Direction(rng.normal(0, 0.2, (256, 24)), rng.normal(0, 0.2, (8, 24)), rng.normal(0, 0.1, 24))
