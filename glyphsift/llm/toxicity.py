@@ -9,22 +9,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, sliced, stored
+from .common import discard, sized_broadcast, spans, stored, whole_id
 
 #: Length of the longest character n-grams, and of the longest whose counts both classes share.
 ORDER, SHARED = 5, 2
-#: A word counts by how far its log-likelihood ratio exceeds MARGIN, to this power; LEAST is the lowest threshold.
-MARGIN, POWER, LEAST = 3.0, 1.5, 0.25
+#: Labelled documents that the model doesn't learn from, which settle the mixture and the thresholds: one in so many, and
+#: at most so many.
+HELD_ONE_IN, HELD_ROWS = 4, 20_000
+#: Toxic held-out documents that a length class needs for a threshold of its own.
+CLASS_ROWS = 20
 #: Words whose ratios a task remembers.
 KNOWN = 200_000
-#: n-grams that may be sent to the executors; a larger model raises an error.
-MAX_GRAMS = 20_000_000
+#: Bytes of n-grams that may be sent to the executors; a larger model raises an error.
+MAX_BYTES = 1 << 30
 START, END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
 _M = 0x9E3779B97F4A7C15
+#: The shares of a toxic document's words that may come from the toxic model; held-out documents choose.
+SHARES = (0.003, 0.01, 0.03, 0.1, 0.3)
 
 
 def words_of(text: str) -> list[str]:
@@ -46,6 +51,10 @@ def _suffix_hashes(chars: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _codes(grams: list[str], k: int) -> np.ndarray:
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, k)
+
+
 @dataclass(frozen=True)
 class Level:
     """Of one n-gram length: sorted hashes of n-grams with their discounted shares, and of contexts with their backoff weights.
@@ -59,35 +68,16 @@ class Level:
     weight: np.ndarray
 
 
-def _level(chars: np.ndarray, counts: np.ndarray) -> Level:
-    """The level of distinct n-grams (rows of characters) with counts by class."""
-    k = chars.shape[1]
-    gram = _suffix_hashes(chars)[k]
-    context = _suffix_hashes(chars[:, :-1])[k - 1]
-    contexts, at = np.unique(context, return_inverse=True)
-    share, weight = np.zeros((len(gram), 2)), np.ones((len(contexts), 2))
-    for c in range(2):
-        own = counts[:, c].astype(np.float64)
-        n1, n2 = np.count_nonzero(own == 1), np.count_nonzero(own == 2)
-        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
-        total, kinds = np.bincount(at, weights=own), np.bincount(at, weights=own > 0)
-        seen = total > 0  # a context that a class lacks leaves all to the shorter one
-        weight[seen, c] = d * kinds[seen] / total[seen]
-        share[:, c] = np.maximum(own - d, 0) / np.maximum(total[at], 1)
-    order = np.argsort(gram)
-    return Level(gram[order], share[order], contexts, weight)
-
-
 @dataclass(frozen=True)
 class Model:
     levels: tuple[Level, ...]
     letters: int
     order: int
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratio, toxic over ordinary, and length of each word, with its end."""
+    def log_likelihoods(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods of each word with its end, ordinary and toxic, and its length in characters."""
         if not words or not self.levels:
-            return np.zeros(len(words)), np.ones(len(words))
+            return np.zeros((len(words), 2)), np.array([len(w) + 1.0 for w in words])
         pad = self.order - 1
         length = np.array([len(w) + 1 for w in words])
         stream = np.frombuffer((START * pad).join(["", *[w + END for w in words]]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -103,32 +93,66 @@ class Model:
             j = np.minimum(np.searchsorted(level.grams, grams[k][found]), len(level.grams) - 1)
             hit = level.grams[j] == grams[k][found]
             p[found[hit]] += level.share[j[hit]]
-        ratio = np.log(p[:, 1]) - np.log(p[:, 0])
-        return np.add.reduceat(ratio, np.cumsum(length) - length), length.astype(np.float64)
+        return np.add.reduceat(np.log(p), np.cumsum(length) - length, axis=0), length.astype(np.float64)
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """The log-likelihood ratio, toxic over ordinary, of each word."""
+        both = self.log_likelihoods(words)[0]
+        return both[:, 1] - both[:, 0]
+
+
+def _hashed(gram: str, k: int) -> Column:
+    """The hash of a column of k-grams, as a signed number."""
+
+    @F.pandas_udf("long")
+    def of(grams: pd.Series) -> pd.Series:
+        return pd.Series(_suffix_hashes(_codes(list(grams), k))[k].view(np.int64) if k else np.zeros(len(grams), dtype=np.int64))
+
+    return of(F.col(gram))
 
 
-def build(grams: list[str], ordinary: np.ndarray, toxic: np.ndarray, order: int = ORDER, shared: int = SHARED) -> Model:
-    """Interpolated Kneser-Ney: counts at the full order, below it the number of distinct longer n-grams.
+def _arrays(df: DataFrame) -> list[np.ndarray]:
+    """(hash, ordinary, toxic) of df, sorted by the hash."""
+    pdf = df.toPandas()
+    h = pdf["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return [h[order], np.stack([pdf["o"].to_numpy(dtype=np.float32), pdf["t"].to_numpy(dtype=np.float32)], axis=1)[order]]
 
-    Each class has its own numbers down to n-grams longer than ``shared``; from there on both take the pooled ones, so a
-    rare expression that neither knows scores alike under both.
+
+def build(grams: DataFrame, order: int = ORDER, shared: int = SHARED, max_bytes: int = MAX_BYTES) -> Model:
+    """Interpolated Kneser-Ney of grams (g, o, t): n-grams of full length with their counts in either class.
+
+    Counts at the full order, below it the number of distinct longer n-grams. Each class has its own numbers down to
+    n-grams longer than ``shared``; from there on both take the pooled ones, so a rare expression that neither knows
+    scores alike under both. The levels are counted where the data are; hashes and shares alone reach the driver.
     """
-    if not grams:
-        return Model((), 1, order)
-    chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, order)
-    counts, levels = np.stack([ordinary, toxic], axis=1).astype(np.float64), []
+    levels, used, letters = [], 0, 1
+    own = grams
     for k in range(order, 0, -1):
-        own = np.repeat((counts.sum(axis=1))[:, None], 2, axis=1) if k <= shared else counts
-        levels.append(_level(chars, own))
-        if k > 1:
-            key = _suffix_hashes(chars)[k - 1]
-            _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-            seen = (counts > 0).astype(np.float64)
-            if k - 1 <= shared:
-                seen = np.stack([(counts.sum(axis=1) > 0).astype(np.float64), np.zeros(len(counts))], axis=1)
-            counts = np.stack([np.bincount(inverse, weights=seen[:, c]) for c in range(2)], axis=1)
-            chars = chars[at][:, 1:]
-    return Model(tuple(reversed(levels)), len(np.unique(chars[:, -1])) + 1, order)
+        if k <= shared:
+            own = own.withColumn("o", F.col("o") + F.col("t")).withColumn("t", F.col("o"))
+        level = stored(own, f"grams-{k}")
+        ones = [F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in "ot" for n in (1, 2)]
+        stats = level.agg(F.count("*").alias("n"), F.count_distinct(F.substring("g", k, 1)).alias("letters"), *ones).first()
+        if not stats["n"]:
+            return Model((), 1, order)
+        if k == order:
+            letters = stats["letters"] + 1
+        if (used := used + stats["n"] * 32) > max_bytes:
+            raise ValueError(f"a model of over {max_bytes} bytes of n-grams; take a smaller order or raise max_bytes")
+        d = {c: stats[f"{c}1"] / (stats[f"{c}1"] + 2 * stats[f"{c}2"]) if stats[f"{c}1"] and stats[f"{c}2"] else 0.75 for c in "ot"}
+        context = F.substring("g", 1, k - 1)
+        contexts = level.groupBy(context.alias("c")).agg(*[F.sum(x).alias(f"n{x}") for x in "ot"], *[F.count_if(F.col(x) > 0).alias(f"k{x}") for x in "ot"])
+        # A context that a class lacks leaves all to the shorter one.
+        weight = lambda x: F.when(F.col(f"n{x}") > 0, F.lit(d[x]) * F.col(f"k{x}") / F.col(f"n{x}")).otherwise(1.0).cast("float").alias(x)
+        share = lambda x: F.when(F.col(x) > 0, F.greatest(F.col(x) - d[x], F.lit(0.0)) / F.col(f"n{x}")).otherwise(0.0).cast("float").alias(x)
+        shares = level.withColumn("c", context).join(contexts, "c").select(_hashed("g", k).alias("h"), share("o"), share("t"))
+        levels.append(Level(*_arrays(shares), *_arrays(contexts.select(_hashed("c", k - 1).alias("h"), weight("o"), weight("t")))))
+        # The number of distinct longer n-grams, of each class, or pooled where the classes share their counts.
+        pooled = k - 1 <= shared
+        seen = [F.count_if((F.col("o") > 0) | (F.col("t") > 0)).alias("o"), F.lit(0).cast("long").alias("t")] if pooled else [F.count_if(F.col(c) > 0).alias(c) for c in "ot"]
+        own = level.groupBy(F.substring("g", 2, k - 1).alias("g")).agg(*seen)
+    return Model(tuple(reversed(levels)), letters, order)
 
 
 def _class_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,91 +175,187 @@ def _word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"g": pd.Series(list(total), dtype=object), "o": pd.Series([x[0] for x in total.values()], dtype="int64"), "t": pd.Series([x[1] for x in total.values()], dtype="int64")})
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (_d, ...) with _toxic 0 or 1, once for each row of docs that labels tell of; contradictory labels are left out."""
+def counted(labelled: DataFrame) -> DataFrame:
+    """(g, o, t): the n-grams of labelled (_x, _toxic) by class; words are counted first, so that each is cut up once."""
+    words = labelled.select("_x", "_toxic").mapInPandas(_class_words, "w string, o long, t long").groupBy("w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    return words.mapInPandas(_word_grams, "g string, o long, t long").groupBy("g").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """docs (_d, _x) with _toxic 0 or 1 where labels tell of them, and how many labels there are; contradictory ones are left out."""
     told = labels.select(F.col("doc_id").cast("long").alias("_d"), F.col("toxic").cast("int").alias("_toxic")).where(F.col("_d").isNotNull() & F.col("_toxic").isin(0, 1))
     told = told.groupBy("_d").agg(F.min("_toxic").alias("_toxic"), F.max("_toxic").alias("_most")).where(F.col("_toxic") == F.col("_most")).drop("_most")
-    return docs.join(sized_broadcast(told, labels.count()), "_d")
+    n = labels.count()
+    return docs.join(sized_broadcast(told, n, 32), "_d"), n
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of all labelled documents: words by class, then n-grams by class, are counted where the data are."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_x")).where(F.col("_x").isNotNull())
-    words = _labelled(rows, labels).select("_x", "_toxic").mapInPandas(_class_words, "w string, o long, t long").groupBy("w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-    grams = stored(words.mapInPandas(_word_grams, "g string, o long, t long").groupBy("g").agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "grams")
-    if (n := grams.count()) > MAX_GRAMS:
-        raise ValueError(f"{n} n-grams; a model may have {MAX_GRAMS}: take a smaller ORDER")
-    held = grams.orderBy("g").toPandas()
-    return build(list(held["g"]), held["o"].to_numpy(), held["t"].to_numpy())
-
-
-def threshold(scores: DataFrame) -> float:
-    """The score that parts the classes best: of the thresholds with the most F1 on (score, _toxic), the middle one."""
-    level = F.round(F.log1p(F.coalesce("score", F.lit(0.0))) * 40).cast("int")
-    bins = scores.groupBy(level.alias("b")).agg(F.sum("_toxic").alias("t"), F.count("*").alias("n")).orderBy(F.desc("b")).collect()
-    total, t, n, cuts = sum(r["t"] for r in bins), 0, 0, []
-    if not total or total == sum(r["n"] for r in bins):
-        return float("inf")
-    for r, nxt in zip(bins, bins[1:]):
-        t, n = t + r["t"], n + r["n"]
-        # Any cut above the next score and up to this one has the same outcome.
-        cuts.append((2 * t / (n + total), (r["b"] + nxt["b"]) / 80))
-    top = max((f for f, _ in cuts), default=0)
-    good = [c for f, c in cuts if f == top]
-    return max(LEAST, float(np.expm1((good[0] + good[-1]) / 2))) if good else float("inf")
+def excess(ratio: np.ndarray, share: float) -> np.ndarray:
+    """log((1 - share) ordinary + share * toxic) - log ordinary of a word whose log-likelihood ratio is ``ratio``."""
+    return np.log1p(share * np.expm1(np.minimum(ratio, 50.0)))
 
 
-def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_d, n_words, mean_ratio, score, expression) of each row; nulls without words.
+def length_class(words: Column) -> Column:
+    """Documents of 1 to 3, 4 to 15, 16 to 63 ... words."""
+    return F.floor(F.log2(words.cast("double")) / 2 + 1e-9).cast("int")
 
-    mean_ratio is the log-likelihood ratio of all words over all their characters; the score is the sum of what each
-    word's ratio exceeds MARGIN by, to the power POWER, over the root of the number of words; expression is the word
-    with the largest ratio.
+
+def best_cut(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The threshold with the most F1; of the gap between the scores that it parts, the middle. Infinite without toxic ones."""
+    if not toxic.any():
+        return float("inf")
+    order = np.argsort(-scores, kind="stable")
+    s, hits = scores[order], np.cumsum(toxic[order])
+    f1 = 2 * hits / (np.arange(1, len(s) + 1) + hits[-1])
+    f1[:-1][s[:-1] == s[1:]] = -1  # equal scores aren't parted
+    i = int(np.argmax(f1))
+    return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
+
+
+def cuts(scores: np.ndarray, classes: np.ndarray, toxic: np.ndarray) -> tuple[float, dict[int, float]]:
+    """The threshold of all held-out rows (score, length class, toxic), and those of classes with enough of either kind."""
+    own = {}
+    for c in np.unique(classes):
+        at = classes == c
+        if toxic[at].sum() >= CLASS_ROWS and (toxic[at] == 0).sum() >= CLASS_ROWS:
+            own[int(c)] = best_cut(scores[at], toxic[at])
+    return (best_cut(scores, toxic) if (toxic == 0).any() else float("inf")), own
+
+
+def settle(scores: np.ndarray, classes: np.ndarray, toxic: np.ndarray) -> tuple[int, float, dict[int, float]]:
+    """Of the columns of scores, one for each of SHARES, the one with the most F1 under its thresholds (of equals the first),
+    and these."""
+    best = None
+    for i in range(scores.shape[1]):
+        cut, own = cuts(scores[:, i], classes, toxic)
+        flagged = scores[:, i] >= np.array([own.get(int(c), cut) for c in classes])
+        f1 = 2 * (flagged & (toxic == 1)).sum() / max(1, flagged.sum() + toxic.sum())
+        if best is None or f1 > best[0]:
+            best = f1, i, cut, own
+    return best[1:]
+
+
+class _Scorer:
+    """Ratios of words under a model, remembered from text to text."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
+        own = [words_of(t) if isinstance(t, str) else [] for t in texts]
+        if len(self.known) > KNOWN:
+            self.known = {}
+        todo = sorted({w for words in own for w in words} - self.known.keys())
+        for lo in range(0, len(todo), 20_000):
+            part = todo[lo : lo + 20_000]
+            self.known.update(zip(part, self.model.ratios(part).tolist()))
+        return [(words, np.fromiter(map(self.known.__getitem__, words), dtype=np.float64, count=len(words))) for words in own]
+
+
+def score_documents(df: DataFrame, text: Column, model: Model, share: float) -> DataFrame:
+    """df with _r: (n_words, mean_ratio, score, expression) of each text.
+
+    score is the difference of the log-likelihoods of the two classes, toxic less ordinary, a word: a toxic document's
+    words come from the toxic model with the chance ``share`` and else from the ordinary one, as most of its words are
+    ordinary. mean_ratio is the same difference with all words from the toxic model; expression is the word with the
+    largest ratio. All but n_words are null without words.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    held = df.sparkSession.sparkContext.broadcast(model)
 
+    @F.pandas_udf("n_words int, mean_ratio double, score double, expression string")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = _Scorer(held.value)
+        for texts in batches:
+            out = []
+            for lo, hi in spans(texts):
+                for words, ratio in scorer(list(texts.iloc[lo:hi])):
+                    if words:
+                        top = ratio.max()
+                        out.append((len(words), float(ratio.mean()), float(excess(ratio, share).mean()), min(words[i] for i in np.flatnonzero(ratio == top))))
+                    else:
+                        out.append((0, np.nan, np.nan, None))
+            yield pd.DataFrame(out, columns=["n_words", "mean_ratio", "score", "expression"]).astype({"n_words": "int32", "mean_ratio": "float64", "score": "float64", "expression": object})
+
+    return df.withColumn("_r", score(text))
+
+
+def _held_scores(model: Model):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[float, float, float]] = {}
-        for pdf in sliced(batches):
-            own = [words_of(t) if isinstance(t, str) else [] for t in pdf["_x"]]
-            fresh = {w for words in own for w in words}
-            if len(known) > KNOWN:
-                known = {}
-            todo = sorted(fresh - known.keys())
-            for lo in range(0, len(todo), 20_000):
-                part = todo[lo : lo + 20_000]
-                ratio, length = shared.value.score(part)
-                known.update(zip(part, zip(ratio.tolist(), length.tolist(), (np.maximum(ratio - MARGIN, 0) ** POWER).tolist())))
+        scorer = _Scorer(model)
+        for pdf in batches:
             out = []
-            for words in own:
-                if not words:
-                    out.append((0, None, None, None))
-                    continue
-                ratios, lengths, excess = zip(*map(known.__getitem__, words))
-                top = max(ratios)
-                out.append((len(words), sum(ratios) / sum(lengths), sum(excess) / len(words) ** 0.5, min(w for w, r in zip(words, ratios) if r == top)))
-            columns = list(zip(*out))
-            yield pd.DataFrame({"_d": pdf["_d"].to_numpy(), "n_words": np.array(columns[0], dtype=np.int32), "mean_ratio": np.array(columns[1], dtype=np.float64), "score": np.array(columns[2], dtype=np.float64), "expression": np.array(columns[3], dtype=object)})
+            for lo, hi in spans(pdf["_x"]):
+                own = scorer(list(pdf["_x"].iloc[lo:hi]))
+                out += [(int(t), len(r), [float(excess(r, x).mean()) for x in SHARES]) for (_, r), t in zip(own, pdf["_toxic"].iloc[lo:hi]) if len(r)]
+            yield pd.DataFrame(out, columns=["toxic", "n", "s"]).astype({"toxic": "int64", "n": "int64"})
+
+    return score
+
+
+@dataclass(frozen=True)
+class Judge:
+    """A model with the mixture's share, the threshold of all documents and those by length class."""
+
+    model: Model
+    share: float
+    cut: float
+    by_class: dict[int, float]
 
-    rows = df.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_x"))
-    out = rows.mapInPandas(score, "_d long, n_words int, mean_ratio double, score double, expression string")
-    return out.select("_d", "n_words", *[F.when(F.col("n_words") > 0, F.col(c)).alias(c) for c in ("mean_ratio", "score")], "expression")
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Judge:
+    """The model of the labelled documents, and what the held-out ones among them settle.
+
+    One labelled document in HELD_ONE_IN, by the hash of its id and HELD_ROWS at most, is held out: the model learns from
+    all others. The share of the mixture and the thresholds come from the held-out ones, which the model doesn't know.
+    Where those lack a class, all labelled documents settle both.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_x")).where(F.col("_x").isNotNull())
+    told, n = _labelled(rows, labels)
+    told = stored(told, "labelled")
+    part = int((1 << 20) * min(1 / HELD_ONE_IN, HELD_ROWS / max(n, 1)))
+    out = F.pmod(F.xxhash64("_d"), F.lit(1 << 20)) < part
+    kinds = told.where(out).agg(F.min("_toxic").alias("least"), F.max("_toxic").alias("most")).first()
+    held = told.where(out) if (kinds["least"], kinds["most"]) == (0, 1) else told
+    model = build(counted(told.where(~out)))
+    scored = held.select("_x", "_toxic").mapInPandas(_held_scores(model), "toxic long, n long, s array<double>")
+    scored = scored.select("toxic", length_class(F.col("n")).alias("c"), "s").toPandas()
+    scores = np.array(scored["s"].to_list(), dtype=np.float64).reshape(-1, len(SHARES))
+    at, cut, by_class = settle(scores, scored["c"].to_numpy(np.int64), scored["toxic"].to_numpy(np.int64))
+    discard(told)
+    return Judge(model, SHARES[at], cut, by_class)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, n_words, mean_ratio, score, expression, toxic) for each row of df.
 
-    Two Kneser-Ney models, of toxic and of ordinary labelled documents, give each word a log-likelihood under either. A
-    document's score is the evidence of its words over the root of their number; it is toxic at the score that parts the
-    labelled documents best, and no less than LEAST. Texts and words count whole. Null texts and texts without letters
-    have no words, a null score and aren't toxic. Null ids and repeated rows are scored like others; null labels, and
-    ids with labels of both kinds, don't teach. Without labels of either kind no document is toxic. Other columns of df
-    or labels are ignored. An empty table gives no rows.
+    Two Kneser-Ney models, of toxic and of ordinary labelled documents, give each word a log-likelihood under either. The
+    score is the difference of a document's two log-likelihoods, divided by its length in words; a document is toxic at
+    the threshold that parts the held-out labelled documents of its length class best, see train(). Texts and words count
+    whole. Null texts and texts without letters have no words, a null score and aren't toxic. Null ids and repeated rows
+    are scored like others; null labels, and ids with labels of both kinds, don't teach. Without labels of either kind no
+    document is toxic. Ids must be whole numbers. Other columns of df or labels are ignored. An empty table gives no rows.
     """
-    scores = stored(score_documents(df, train(df, labels, id_col, text_col), id_col, text_col), "toxicity")
-    cut = threshold(_labelled(scores, labels))
-    return scores.withColumn("toxic", F.coalesce(F.col("score") >= cut, F.lit(False))).withColumnRenamed("_d", id_col)
+    whole_id(df, id_col)
+    judge = train(df, labels, id_col, text_col)
+    inf = lambda x: F.lit(float(x))
+    cut = inf(judge.cut)
+    for c, x in judge.by_class.items():
+        cut = F.when(length_class(F.col("_r.n_words")) == c, inf(x)).otherwise(cut)
+    rows = score_documents(df.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_x")), F.col("_x"), judge.model, judge.share)
+    some = lambda c: F.when(F.col("_r.n_words") > 0, F.col(f"_r.{c}")).alias(c)
+    rows = rows.select("_d", "_r")
+    return rows.select(F.col("_d").alias(id_col), "_r.n_words", some("mean_ratio"), some("score"), "_r.expression", F.coalesce((F.col("_r.n_words") > 0) & (F.col("_r.score") >= cut), F.lit(False)).alias("toxic"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def words_query(spark, sf_dir: str) -> DataFrame:
+    """What SQL can check of it: whether a document has words and a score, and that its expression is a word of it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("low"))
+    out = query(spark, sf_dir).join(docs, "doc_id")
+    holds = F.col("low").contains(F.col("expression")) | (F.col("n_words") == 0)
+    return out.select("doc_id", (F.col("n_words") > 0).alias("has_words"), F.col("score").isNotNull().alias("scored"), F.coalesce(holds, F.lit(False)).alias("expression_found"))
+
+
+WORDS_ORACLE = r"select doc_id, coalesce(regexp_matches(text, '\p{L}'), false) has_words, coalesce(regexp_matches(text, '\p{L}'), false) scored, text is not null expression_found from documents"

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from glyphsift.llm.toxicity import ORDER, build, grams_of, toxicity
+from glyphsift.llm.toxicity import START, END, best_cut, build, grams_of, settle, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -30,22 +30,82 @@ def test_held_out_documents(spark, make_docs, corpus):
     assert all(got[i].expression.startswith("xurk") for i, _, t in unseen if t)
 
 
-def test_probabilities_add_up_to_one():
-    grams = {}
-    for w, n in (("abab", 3), ("abba", 2), ("baa", 1)):
-        for g in grams_of(w):
-            grams[g] = grams.get(g, 0) + n
-    names = sorted(grams)
-    counts = np.array([grams[g] for g in names])
-    model = build(names, counts, counts * 0, ORDER, 2)
-    ratio, length = model.score(["ab", "b", "zzz"])
-    assert length.tolist() == [3, 2, 4] and np.isfinite(ratio).all()
-    same = build(names, counts, counts, ORDER, 2).score(["abab", "zz"])[0]
-    assert np.allclose(same, 0)
-    alphabet = ["a", "b", "\x03"]
-    for level in model.levels[:1]:
-        total = sum(float(level.share[np.searchsorted(level.grams, np.uint64(ord(c) + 1)), 0]) for c in alphabet)
-        assert np.isclose(total + level.weight[0, 0], 1)
+def kneser_ney(grams, order, shared):
+    """p(class, context, character) by the definition, from {n-gram: (ordinary, toxic)}."""
+    levels = {order: {g: tuple(n) for g, n in grams.items()}}
+    for k in range(order, 0, -1):
+        if k <= shared:
+            levels[k] = {g: (sum(n),) * 2 if k == order else (n[0],) * 2 for g, n in levels[k].items()}
+        if k > 1:
+            lower = {}
+            for g, n in levels[k].items():
+                own = lower.setdefault(g[1:], [0, 0])
+                for c in range(2):
+                    own[c] += (max(n) if k - 1 <= shared else n[c]) > 0
+            levels[k - 1] = lower
+    letters = len({g[-1] for g in grams}) + 1
+    discount = {}
+    for k, own in levels.items():
+        for c in range(2):
+            n1, n2 = (sum(n[c] == x for n in own.values()) for x in (1, 2))
+            discount[k, c] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
+
+    def p(c, context, char, k=order):
+        if not k:
+            return 1 / letters
+        context = context[len(context) - k + 1 :] if k > 1 else ""
+        own = {g: n[c] for g, n in levels[k].items() if g[:-1] == context}
+        total, kinds, d = sum(own.values()), sum(n > 0 for n in own.values()), discount[k, c]
+        below = p(c, context, char, k - 1)
+        return below if not total else max(own.get(context + char, 0) - d, 0) / total + d * kinds / total * below
+
+    return p
+
+
+def test_likelihoods_by_definition(spark):
+    rng = random.Random(3)
+    counts = {}
+    for c in (0, 1):
+        for _ in range(30):
+            word = "".join(rng.choice("abc"[: 2 + c] + "é") for _ in range(rng.randint(1, 5)))
+            for g in grams_of(word, 3):
+                counts.setdefault(g, [0, 0])[c] += rng.randint(1, 2)
+    for shared in (1, 2):
+        p = kneser_ney(counts, 3, shared)
+        model = build(spark.createDataFrame([(g, *n) for g, n in counts.items()], "g string, o long, t long"), 3, shared)
+        words = ["ab", "b", "zzz", "cab", "éa", "aabb"]
+        got, length = model.log_likelihoods(words)
+        for w, row, n in zip(words, got, length):
+            own = START * 2 + w + END
+            want = [sum(np.log(p(c, own[i - 2 : i], own[i])) for i in range(2, len(own))) for c in range(2)]
+            assert np.allclose(row, want, rtol=1e-4) and n == len(w) + 1
+        for context in ("\x02a", "ab", "zz"):
+            assert np.isclose(sum(p(1, context, x) for x in "abcé" + END), 1 - p(1, context, "?"), atol=0.2)
+
+
+def test_a_model_too_large_is_refused(spark):
+    with pytest.raises(ValueError):
+        build(spark.createDataFrame([(g, 1, 0) for g in grams_of("abcdefgh")], "g string, o long, t long"), max_bytes=64)
+
+
+def test_thresholds():
+    scores, toxic = np.array([0.1, 0.2, 0.2, 0.5, 0.9]), np.array([0, 0, 1, 1, 1])
+    assert best_cut(scores, toxic) == pytest.approx(0.15)
+    assert best_cut(scores, toxic * 0) == float("inf")
+    assert best_cut(np.array([0.1, 0.4]), np.array([0, 1])) == 0.25
+    noise = np.array([0.9, 0.8, 0.1, 0.2, 0.3])
+    at, cut, own = settle(np.stack([noise, scores], axis=1), np.zeros(5, int), toxic)
+    assert (at, own) == (1, {}) and cut == pytest.approx(0.15)
+
+
+def test_large_ids_beside_null(spark, make_docs, corpus):
+    rows, labels = corpus
+    big = 9007199254740993
+    docs = make_docs([(None, "some words"), (big, "other words"), *rows[:30]])
+    told = spark.createDataFrame(labels[:30] + [(big, 1, 0), (None, 1, 1)], LABELS)
+    assert big in {r.doc_id for r in toxicity(docs, told).collect()}
+    with pytest.raises(TypeError):
+        toxicity(spark.createDataFrame([("a", "b")], "doc_id string, text string"), told)
 
 
 def test_odd_rows(spark, odd_docs, make_docs, corpus):
