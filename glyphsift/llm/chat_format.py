@@ -25,6 +25,8 @@ STYLES = (
 )
 #: One turn in so many is without its marker in those transcripts.
 UNMARKED = 6
+#: The query's model learns from one conversation in so many, by the hash of its id; all are parsed.
+LEARN_ONE_IN = 4
 MARKER = re.compile(r"^\s*(?:#{1,6}\s*|\*\*|[\[<(]\|?)?([A-Za-z]{1,12})(?:\*\*)?\s*(?::\*\*|:|\|?[\])>]:?)\s*")
 CONTROL = re.compile(r"<(\\*\|)")
 STATES = tuple((r, begins) for r in ROLES for begins in (True, False))
@@ -86,16 +88,18 @@ def viterbi(model: Model, seen: np.ndarray) -> np.ndarray:
     return out
 
 
+def _without_blank_ends(lines: list[str]) -> list[str]:
+    worded = [i for i, line in enumerate(lines) if line.strip()]
+    return lines[worded[0] : worded[-1] + 1] if worded else []
+
+
 def parse(model: Model, text: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a transcript. A turn begins where the model says so, or where the role changes.
 
     A marker goes only where it begins a turn of its role; elsewhere a line that looks marked is text and stays whole.
+    Blank lines at a turn's ends go; all other white space stays.
     """
-    lines = re.split("\r\n|\r|\n", text)
-    while lines and not lines[0].strip():
-        lines.pop(0)
-    while lines and not lines[-1].strip():
-        lines.pop()
+    lines = _without_blank_ends(re.split("\r\n|\r|\n", text))
     if not lines:
         return []
     seen, texts = features(lines)
@@ -106,7 +110,7 @@ def parse(model: Model, text: str) -> list[tuple[str, str]]:
         if begins:
             turns.append((role, []))
         turns[-1][1].append(bare if begins and marked == ROLES.index(role) + 1 else line)
-    return [(role, body) for role, own in turns if (body := "\n".join(own).strip())]
+    return [(role, "\n".join(body)) for role, own in turns if (body := _without_blank_ends(own))]
 
 
 def escape(text: str) -> str:
@@ -186,8 +190,9 @@ def chat_format(df: DataFrame, model: Model, id_col: str = "conv_id", text_col:
     """One row (id, n_turns, roles, chat) for each transcript of df: its turns as the model parses them, rendered.
 
     A null or blank transcript has no turns and an empty chat. A text without any marker is parsed by its line features
-    alone. Control tokens in the text are escaped. Texts count whole; repeated rows and null ids stay as they are; other
-    columns are ignored; an empty table gives no rows.
+    alone, and so is a turn whose speaker the markers don't know: every line gets one of the three roles. Control tokens
+    in the text are escaped. Texts count whole; repeated rows and null ids stay as they are; other columns are ignored;
+    an empty table gives no rows.
     """
 
     @F.pandas_udf("n_turns int, roles array<string>, chat string")
@@ -200,5 +205,21 @@ def chat_format(df: DataFrame, model: Model, id_col: str = "conv_id", text_col:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """All conversations, as transcripts, parsed by a model that has seen the true roles of one in LEARN_ONE_IN."""
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return chat_format(transcripts(conversations), train(conversations))
+    learned = conversations.where(F.pmod(F.xxhash64("conv_id"), F.lit(LEARN_ONE_IN)) == 0)
+    return chat_format(transcripts(conversations), train(learned if learned.head(1) else conversations))
+
+
+def words_query(spark, sf_dir: str) -> DataFrame:
+    """What SQL can check of it: that each conversation has its chat, and that the chat holds all words of its turns."""
+    count = lambda t: F.regexp_count(t, F.lit("[^ \\t\\n\\r\\f]+"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.length(F.trim("text")) > 0)
+    own = rows.groupBy("conv_id").agg(F.sum(count("text")).alias("words"))
+    out = query(spark, sf_dir).join(own, "conv_id")
+    return out.select("conv_id", "words", (count("chat") - 2 * F.col("n_turns") >= F.col("words")).alias("whole"), (F.col("n_turns") > 0).alias("has_turns"))
+
+
+WORDS_ORACLE = r"""
+select conv_id, sum(len(regexp_extract_all(text, '[^ \t\n\r\f]+')))::bigint words, true whole, true has_turns
+from conversations where trim(text) <> '' and conv_id is not null group by conv_id"""

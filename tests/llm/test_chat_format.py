@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+
 from glyphsift.llm.chat_format import ALIASES, _turns, chat_format, parse, parse_rendered, render, split_marker, train, transcripts, write_transcript
 
 KIND = "conv_id long, turn long, role string, text string"
@@ -69,3 +72,28 @@ def test_lines_that_only_look_marked_stay_whole(monkeypatch):
     monkeypatch.setattr(cf, "viterbi", lambda model, seen: states)
     text = "User: list them\na) first\nAnswer: 42\nContext: given\nAnswer: is it?"
     assert cf.parse(None, text) == [("user", "list them\na) first"), ("assistant", "42\nContext: given"), ("user", "Answer: is it?")]
+
+
+def test_viterbi_against_all_paths():
+    from glyphsift.llm import chat_format as cf
+
+    rng = np.random.default_rng(5)
+    n = len(cf.STATES)
+    for length in (1, 2, 3, 4):
+        model = cf.Model(rng.normal(size=n), rng.normal(size=(n, n)), tuple(rng.normal(size=(n, size)) for size in cf.SIZES))
+        seen = np.stack([rng.integers(0, size, length) for size in cf.SIZES], axis=1)
+
+        def weight(path):
+            out = model.start[path[0]] + sum(model.step[a, b] for a, b in zip(path, path[1:]))
+            return out + sum(model.emit[f][s, v] for s, row in zip(path, seen) for f, v in enumerate(row))
+
+        best = max(itertools.product(range(n), repeat=length), key=weight)
+        assert tuple(cf.viterbi(model, seen)) == best
+
+
+def test_lines_inside_turns_of_a_trained_model(spark, prose):
+    model = train(spark.createDataFrame(conversations(prose, range(100)), KIND))
+    text = "User: what is it?\n\nAssistant: first words here and some more of them\n    indented = code\nand on it goes for a while with many words"
+    got = parse(model, text)
+    assert [r for r, _ in got] == ["user", "assistant"] and "\n    indented = code\n" in got[1][1]
+    assert parse(model, "\n  \n    indented first\n\n")[0][1] == "    indented first"
