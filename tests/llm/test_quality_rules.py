@@ -1,6 +1,7 @@
+import numpy as np
 from pyspark.sql import functions as F
 
-from glyphsift.llm.quality_rules import plan_cascade, quality_rules, quality_verdicts, rejected, rules
+from glyphsift.llm.quality_rules import cascade_order, plan_cascade, quality_rules, quality_verdicts, rejected, rules
 
 
 def test_each_rule(make_docs, prose):
@@ -30,3 +31,9 @@ def test_odd_rows_and_clashing_columns(odd_docs, spark):
     clash = spark.createDataFrame([(1, "some good words", True, "x")], "doc_id long, text string, kept boolean, t string")
     assert quality_rules(clash).collect() == clash.collect()
     assert quality_verdicts(clash).columns == ["doc_id", "kept"]
+
+
+def test_a_rule_is_placed_by_what_those_before_it_let_pass():
+    hits = {"a": np.array([1, 1, 1, 0, 0, 0], bool), "b": np.array([1, 1, 0, 0, 0, 0], bool), "c": np.array([0, 0, 0, 1, 0, 0], bool)}
+    assert [n for n, *_ in cascade_order({"a": 1.0, "b": 0.9, "c": 1.0}, hits)] == ["a", "c", "b"]
+    assert [n for n, *_ in cascade_order({"a": 8.0, "b": 1.0, "c": 1.0}, hits)] == ["b", "c", "a"]
