@@ -141,6 +141,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     of two equals goes where is settled but for rows that repeat. Other columns are ignored. An empty table: no rows.
     Only the histogram, at most ``capacity`` sizes, reaches the driver. size, if given, counts a row's tokens.
     """
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
     tokens = F.coalesce((word_count(F.col(text_col).cast("string")) if size is None else size).cast("long"), F.lit(0))
     docs = df.select(F.col(id_col).alias("_id"), tokens.alias("_n")).where(F.col("_n") > 0)
     last = (F.col("_n") + capacity - 1).cast("long")
@@ -167,3 +169,17 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
 def query(spark, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def pieces_query(spark, sf_dir: str) -> DataFrame:
+    """What SQL can check of it: pieces and tokens of each document, and that bins hold no more than their capacity, back to back."""
+    out = query(spark, sf_dir)
+    bins = out.groupBy("bin_id").agg(F.sum("tokens").alias("n"), F.max(F.col("bin_offset") + F.col("tokens")).alias("end"), F.min("bin_offset").alias("lo"))
+    sound = bins.agg(((F.max("n") <= CAPACITY) & (F.max(F.abs(F.col("n") - F.col("end"))) == 0) & (F.max("lo") == 0)).alias("sound"))
+    per = out.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    return per.crossJoin(F.broadcast(sound))
+
+
+PIECES_ORACLE = rf"""
+with d as (select doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f]+')) n from documents)
+select doc_id, sum((n + {CAPACITY - 1}) // {CAPACITY})::bigint pieces, sum(n)::bigint tokens, true sound from d where n > 0 group by doc_id"""

@@ -89,3 +89,7 @@ def test_odd_rows(odd_docs, spark):
     assert pack(odd_docs.limit(0)).collect() == []
     clash = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, bin_id int, _s int")
     assert [tuple(r) for r in pack(clash).collect()] == [(1, 0, 2, 0, 0)]
+    import pytest
+
+    with pytest.raises(ValueError):
+        pack(odd_docs, capacity=0)
