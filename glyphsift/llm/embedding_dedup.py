@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole_id
 
 THRESHOLD = 0.95
-TILE_ROWS = 4096
+#: Rows of a tile: codes of a few megabytes, so that a row is sent to few tasks.
+TILE_ROWS = 16384
 SCHEMA = "id_a long, id_b long, similarity double"
 
 
@@ -24,19 +25,20 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, error
 
 
-def tile_pairs(a: tuple, b: tuple, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers (i in a, j in b) and exact cosines of all pairs at or above the threshold.
+def tile_pairs(a: tuple, b: tuple, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i in a, j in b) of all pairs whose cosine may reach the threshold; a and b are (codes, scale, error).
 
     For unit u, v with quantised q, r and error norms e, f: |u.v - q.r| <= |u - q||r| + |q||v - r| + |u - q||v - r|
     <= e(1 + f) + f(1 + e) + ef, as |q| <= 1 + e. A pair whose integer product plus this bound stays under the
-    threshold can't reach it; only the others are computed in double precision. Integer products run through float32
-    matrix multiplication, exact while 127 * 127 * dimension < 2**24; wider vectors use double precision.
+    threshold can't reach it. Codes travel and lie in memory as int8; their integer products run through float32 matrix
+    multiplication, which numpy has a fast kernel for, exact while 127 * 127 * dimension < 2**24; those of wider vectors
+    through double precision.
     """
-    (xa, ca, sa, ea), (xb, cb, sb, eb) = a, b
+    (ca, sa, ea), (cb, sb, eb) = a, b
     kind = np.float32 if ca.shape[1] * 127 * 127 < 2**24 else np.float64
     cbt, out_i, out_j = np.ascontiguousarray(cb.astype(kind).T), [], []
-    for lo in range(0, len(ca), 512):
-        hi = min(lo + 512, len(ca))
+    for lo in range(0, len(ca), 256):
+        hi = min(lo + 256, len(ca))
         dots = ca[lo:hi].astype(kind) @ cbt
         e, f = ea[lo:hi, None], eb[None, :]
         # The largest error of the tile first: one comparison a row rules out nearly everything.
@@ -47,58 +49,79 @@ def tile_pairs(a: tuple, b: tuple, same: bool, threshold: float) -> tuple[np.nda
         keep = (bound >= threshold) & ((lo + i < j) if same else True)
         out_i.append(lo + i[keep])
         out_j.append(j[keep])
-    i, j = np.concatenate(out_i or [np.zeros(0, int)]), np.concatenate(out_j or [np.zeros(0, int)])
-    sims = np.einsum("ij,ij->i", xa[i], xb[j]) if len(i) else np.zeros(0)
-    good = sims >= threshold
-    return i[good], j[good], sims[good]
+    return np.concatenate(out_i or [np.zeros(0, int)]), np.concatenate(out_j or [np.zeros(0, int)])
 
 
-def _unit(vectors: list, dim: int) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors]).reshape(len(vectors), dim)
+def unit(vectors: list) -> np.ndarray:
+    """Rows of one length at length 1, whatever their magnitude."""
+    x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for _, own in pdf.groupby("_dim", sort=False):
+            codes, scale, error = quantise(unit(list(own["_v"])))
+            yield pd.DataFrame({"_r": own["_r"].to_numpy(), "_dim": own["_dim"].to_numpy(), "_t": own["_t"].to_numpy(), "_q": [c.tobytes() for c in codes], "_s": scale, "_e": error})
+
+
+def _exact(threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 4096):
+                own = pdf.iloc[lo : lo + 4096]
+                for _, part in own.groupby(own["_va"].str.len(), sort=False):
+                    sims = np.einsum("ij,ij->i", unit(list(part["_va"])), unit(list(part["_vb"])))
+                    p, q, good = part["_ia"].to_numpy(), part["_ib"].to_numpy(), sims >= threshold
+                    yield pd.DataFrame({"id_a": np.minimum(p, q)[good], "id_b": np.maximum(p, q)[good], "similarity": sims[good]})
+
+    return run
+
+
 def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """All pairs (id_a <= id_b, similarity) of rows whose cosine is at least the threshold, exactly.
 
     Every row is a query and meets every other once: rows fall into tiles, a tile meets itself and the tiles after it,
-    and each meeting is one task. Vectors travel as they are stored, once per tile meeting of their row or column.
+    and each meeting is one task. Int8 codes travel, once per tile meeting; the pairs that they can't rule out are joined
+    with the vectors and computed in double precision. The work grows with the square of the rows.
     Null ids, null, empty or zero vectors and those with a null, NaN or infinite number have no cosine: no pairs.
     Vectors of different lengths never pair. Repeated rows pair with each other, id_a = id_b where they share the id.
-    Other columns are ignored. An empty table gives no rows. The threshold must be positive.
+    Ids must be whole numbers. Other columns are ignored. An empty table gives no rows. The threshold must be positive.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    whole_id(df, id_col)
     x = F.col("_v")
     kind = "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast(kind).alias("_v"))
     rows = rows.where(F.col("_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     rows = rows.where(F.exists(x, lambda v: v != 0))
-    rows = stored(rows.withColumn("_dim", F.size(x)), "vectors")
+    rows = stored(rows.withColumn("_dim", F.size(x)).withColumn("_r", F.monotonically_increasing_id()), "vectors")
     spark = df.sparkSession
     tiles = {r["_dim"]: max(1, -(-r["count"] // tile_rows)) for r in rows.groupBy("_dim").count().collect()}
     if not tiles:
         return spark.createDataFrame([], SCHEMA)
     n = F.create_map(*[F.lit(v) for kv in tiles.items() for v in kv])[F.col("_dim")]
-    # Equal vectors fall into tiles by id, so no tile is hot; a tile holds about tile_rows rows.
-    rows = rows.withColumn("_n", n).withColumn("_t", F.pmod(F.xxhash64("_id", F.xxhash64("_v")), F.col("_n")).cast("int"))
-    left = rows.select("_id", "_v", "_dim", F.explode(F.sequence(F.col("_t"), F.col("_n") - 1)).alias("_b"), F.col("_t").alias("_a"), F.lit(0).alias("_side"))
-    right = rows.where(F.col("_t") > 0).select("_id", "_v", "_dim", F.col("_t").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("_a"), F.lit(1).alias("_side"))
+    # Equal vectors fall into tiles by their row, so no tile is hot; a tile holds about tile_rows rows.
+    tiled = rows.select("_r", "_v", "_dim", F.pmod(F.xxhash64("_r"), n).cast("int").alias("_t"))
+    coded = stored(tiled.mapInPandas(_coded, "_r long, _dim int, _t int, _q binary, _s double, _e double"), "codes").withColumn("_n", n)
+    left = coded.select("_r", "_q", "_s", "_e", "_dim", F.explode(F.sequence(F.col("_t"), F.col("_n") - 1)).alias("_b"), F.col("_t").alias("_a"), F.lit(0).alias("_side"))
+    right = coded.where(F.col("_t") > 0).select("_r", "_q", "_s", "_e", "_dim", F.col("_t").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("_a"), F.lit(1).alias("_side"))
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, a, b = key
-        own = pdf[pdf["_side"] == 0]
-        other = own if a == b else pdf[pdf["_side"] == 1]
-        if own.empty or other.empty:
-            return pd.DataFrame({"id_a": [], "id_b": [], "similarity": []}).astype({"id_a": "int64", "id_b": "int64"})
-        xs = _unit(list(own["_v"]), dim)
-        left_tile = (xs, *quantise(xs))
-        ys = xs if a == b else _unit(list(other["_v"]), dim)
-        i, j, sims = tile_pairs(left_tile, left_tile if a == b else (ys, *quantise(ys)), a == b, threshold)
-        p, q = own["_id"].to_numpy()[i], other["_id"].to_numpy()[j]
-        return pd.DataFrame({"id_a": np.minimum(p, q), "id_b": np.maximum(p, q), "similarity": sims})
-
-    return left.unionByName(right).groupBy("_dim", "_a", "_b").applyInPandas(meet, SCHEMA)
+        parts = []
+        for side in (0, 1) if a != b else (0, 0):
+            own = pdf[pdf["_side"] == side]
+            parts.append((np.frombuffer(b"".join(own["_q"]), dtype=np.int8).reshape(-1, dim), own["_s"].to_numpy(), own["_e"].to_numpy(), own["_r"].to_numpy()))
+        i, j = tile_pairs(parts[0][:3], parts[1][:3], a == b, threshold) if len(parts[0][0]) and len(parts[1][0]) else (np.zeros(0, int),) * 2
+        return pd.DataFrame({"_ra": parts[0][3][i], "_rb": parts[1][3][j]}).astype("int64")
+
+    pairs = left.unionByName(right).groupBy("_dim", "_a", "_b").applyInPandas(meet, "_ra long, _rb long")
+    one = lambda s: rows.select(F.col("_r").alias(f"_r{s}"), F.col("_id").alias(f"_i{s}"), F.col("_v").alias(f"_v{s}"))
+    both = stored(pairs, "may-reach").join(one("a"), "_ra").join(one("b"), "_rb")
+    return both.select("_ia", "_ib", "_va", "_vb").mapInPandas(_exact(threshold), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
