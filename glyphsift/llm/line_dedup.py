@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NO_ID, free_name, sized_broadcast, stored
+from .common import discard, free_name, sized_broadcast, stored, whole_id
 
 #: A run of lines is deleted as a copy if it has at least so many words.
 MIN_WORDS = 50
@@ -50,46 +50,68 @@ def _reach(min_words: int):
 def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_d, _t, _p): the lines with words, by number, that belong to a later copy of a repeated run of docs (_d, _t, _x).
 
-    The suffix array is sorted by prefix doubling as far as min_words lines reach, 2**k lines in round k. A suffix that
-    begins with a line found once, or whose rank is its own, takes no further part. Equal ranks are the
-    longest-common-prefix intervals of that depth. A maximal repeated run is the union of the shortest stretches in it
-    with min_words words: from each of its lines onwards and up to each of its lines. A stretch of m lines,
-    2**k <= m < 2**(k + 1), is named by the ranks of its first and its last 2**k lines; of those with one name the first
-    stays, by document, text key and line.
+    The suffix array is sorted by prefix doubling as far as min_words lines reach: in round k, each suffix has its rank
+    in the order of all suffixes by their first 2**k lines, lines ordered by their ids. Equal ranks are the
+    longest-common-prefix intervals of that depth. A suffix that begins with a line found once, or whose rank is its own,
+    takes no further part. A maximal repeated run is the union of the shortest stretches in it with min_words words: from
+    each of its lines onwards and up to each of its lines; none of these has more than min_words lines, so that deeper
+    ranks would change nothing. A stretch of m lines, 2**k <= m < 2**(k + 1), is named by the ranks of its first and its
+    last 2**k lines; of those with one name the first stays, by document, text key and line. What many suffixes share is
+    counted before it is moved, and joined back by joins that split a hot key: no task holds all places of a line.
     """
     squeezed = F.filter(F.transform(F.split("_x", "\n"), lambda x: F.trim(F.regexp_replace(x, f"[{SPACES}]+", " "))), lambda x: x != "")
     words = F.transform("_a", lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1)
     held = docs.select("_d", "_t", squeezed.alias("_a")).where(F.size("_a") > 0)
     held = held.select("_d", "_t", words.alias("_w"), F.transform("_a", lambda x: F.xxhash64(x)).alias("_h"), F.transform("_a", lambda x: F.xxhash64(F.lit(1), x)).alias("_g"))
     rows = held.mapInPandas(_reach(min_words), "_d long, _t long, _h array<long>, _g array<long>, _f array<int>, _b array<int>")
-    rows = rows.select("_d", "_t", F.posexplode(F.arrays_zip("_h", "_g", "_f", "_b")).alias("_p", "_z")).select(*ORDER, "_z._h", "_z._g", "_z._f", "_z._b")
-    found = rows.withColumn("_n", F.count("*").over(Window.partitionBy("_h", "_g"))).where(F.col("_n") > 1).drop("_n")
+    lines = stored(rows.select("_d", "_t", F.posexplode(F.arrays_zip("_h", "_g", "_f", "_b")).alias("_p", "_z")).select(*ORDER, "_z._h", "_z._g", "_z._f", "_z._b"), "lines")
     # Rows that repeat a document's id and text are the same lines.
-    ranks = stored(found.dropDuplicates(ORDER).withColumn("_r0", F.lit(0).cast("long")), "suffixes")
-    for level in range(max(1, int(min_words)).bit_length() - 1):  # no shortest stretch has more than min_words lines
-        ranks = stored(_double(ranks, level), "suffixes")
+    first = lines.join(_ranked(lines, ["_h", "_g"], "_r0"), ["_h", "_g"]).drop("_h", "_g").dropDuplicates(ORDER)
+    ranks = stored(first, "suffixes")
+    discard(lines)
+    for level in range(max(1, int(min_words)).bit_length() - 1):
+        old, ranks = ranks, _double(ranks, level)
+        discard(old)
         if not ranks.where(F.col(f"_r{level + 1}") >= 0).head(1):
             break
     return _later_copies(ranks)
 
 
+def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(*by, name): the rank, in the order of all rows, of each combination that more than one row has.
+
+    Combinations are counted, sorted by ranges and numbered within these; the ranges' totals alone reach the driver.
+    """
+    found = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    found = stored(found.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "combinations")
+    totals = sorted(found.groupBy("_part").agg(F.sum("_n").alias("n")).collect())
+    starts, total = [], 0
+    for part, n in totals:
+        starts.append((part, total))
+        total += n
+    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _start long"))
+    own = F.sum("_n").over(Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("_own", F.coalesce(own, F.lit(0))).join(start, "_part").select(*by, (F.col("_start") + F.col("_own")).alias(name))
+
+
 def _double(ranks: DataFrame, level: int) -> DataFrame:
-    """Adds _r{level + 1}: the rank, among suffixes with one first line, by the first 2**(level + 1) lines.
+    """Adds _r{level + 1}: the rank by the first 2**(level + 1) lines.
 
     -1 stands for a rank of one suffix alone, as where fewer lines than that follow that are found elsewhere too.
     """
     old, new = f"_r{level}", f"_r{level + 1}"
-    active = ranks.where(F.col(old) >= 0)
-    after = active.select("_d", "_t", (F.col("_p") - (1 << level)).alias("_p"), F.col("_h").alias("_h2"), F.col("_g").alias("_g2"), F.col(old).alias("_o2"))
-    pairs = active.select(*ORDER, "_h", "_g", old).join(after, ORDER)
-    group = ["_h", "_g", old]
-    ranked = pairs.withColumn("_s", F.rank().over(Window.partitionBy(*group).orderBy("_h2", "_g2", "_o2")) - 1)
-    ranked = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(*group, "_s"))).where(F.col("_n") > 1)
-    return ranks.join(ranked.select(*ORDER, (F.col(old) + F.col("_s")).alias(new)), ORDER, "left").fillna({new: -1})
+    after = Window.partitionBy("_d", "_t").orderBy("_p").rangeBetween(1 << level, 1 << level)
+    paired = stored(ranks.withColumn("_o2", F.coalesce(F.first(old).over(after), F.lit(-1))), "pairs")
+    active = (F.col(old) >= 0) & (F.col("_o2") >= 0)
+    named = _ranked(paired.where(active), [old, "_o2"], new)
+    out = paired.join(named, [old, "_o2"], "left").drop("_o2").fillna({new: -1})
+    out = stored(out, "suffixes")
+    discard(paired)
+    return out
 
 
 def _later_copies(ranks: DataFrame) -> DataFrame:
-    levels = [int(c[2:]) for c in ranks.columns if c.startswith("_r")]
+    levels = sorted(int(c[2:]) for c in ranks.columns if c.startswith("_r"))
     span = lambda start, lines: F.struct(start.alias("s"), lines.alias("m"))
     spans = ranks.select("_d", "_t", F.explode(F.array(span(F.col("_p"), F.col("_f")), span(F.col("_p") - F.col("_b") + 1, F.col("_b")))).alias("_v"))
     spans = spans.where((F.col("_v.m") > 0) & (F.col("_v.m") < 1 << (levels[-1] + 1))).select("_d", "_t", F.col("_v.s").alias("_p"), F.col("_v.m").alias("_m")).distinct()
@@ -101,11 +123,13 @@ def _later_copies(ranks: DataFrame) -> DataFrame:
         power = F.when(F.col("_m") >= 1 << lv, 1 << lv).otherwise(power)
     rank = F.array(*[F.col(f"_r{lv}") for lv in levels])
     spans = spans.withColumn("_k", k).withColumn("_q", F.col("_p") + F.col("_m") - power)
-    heads = spans.join(ranks.select(*ORDER, "_h", "_g", rank.alias("_a")), ORDER).withColumn("_o", F.col("_a")[F.col("_k")]).where(F.col("_o") >= 0).drop("_a")
-    ends = ranks.select("_d", "_t", F.col("_p").alias("_q"), F.col("_h").alias("_h2"), F.col("_g").alias("_g2"), rank.alias("_a"))
-    named = heads.join(ends, ["_d", "_t", "_q"]).withColumn("_o2", F.col("_a")[F.col("_k")]).where(F.col("_o2") >= 0).drop("_a")
-    first = Window.partitionBy("_m", "_h", "_g", "_o", "_h2", "_g2", "_o2").orderBy(*ORDER)
-    later = named.withColumn("_n", F.row_number().over(first)).where(F.col("_n") > 1)
+    heads = spans.join(ranks.select(*ORDER, rank.alias("_a")), ORDER).withColumn("_o", F.col("_a")[F.col("_k")]).where(F.col("_o") >= 0).drop("_a")
+    ends = ranks.select("_d", "_t", F.col("_p").alias("_q"), rank.alias("_a"))
+    named = heads.join(ends, ["_d", "_t", "_q"]).withColumn("_o2", F.col("_a")[F.col("_k")]).where(F.col("_o2") >= 0)
+    named = stored(named.select(*ORDER, "_m", "_o", "_o2"), "stretches")
+    name, place = ["_m", "_o", "_o2"], F.struct(*ORDER)
+    first = named.groupBy(*name).agg(F.min(place).alias("_l"), F.count("*").alias("_n")).where(F.col("_n") > 1)
+    later = named.join(first.drop("_n"), name).where(place != F.col("_l"))
     return later.select("_d", "_t", F.explode(F.sequence("_p", F.col("_p") + F.col("_m") - 1)).alias("_p")).distinct()
 
 
@@ -127,14 +151,15 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     document count. Rows that repeat id and text are one document and fare alike. A null text stays null, a text without
     repeated runs stays to the letter. With drop_emptied, a document that lost its lines and has no words left goes;
     else it stays. n_chars, if there as a whole number, is set anew for a changed text. An empty table stays empty. A
-    run shorter than min_words, such as a licence line, stays wherever it is.
+    run shorter than min_words, such as a licence line, stays wherever it is. Ids must be whole numbers.
     """
     d, t, p, c = (free_name(df, x) for x in ("_d", "_t", "_p", "_c"))
     text = F.col(text_col).cast("string")
-    number, key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(text)
+    number, key = whole_id(df, id_col), F.xxhash64(text)
     docs = df.select(number.alias("_d"), key.alias("_t"), text.alias("_x")).where(F.col("_x").isNotNull())
     gone = stored(copied_lines(docs, min_words).groupBy("_d", "_t").agg(F.collect_set("_p").alias("_p")), "copied-lines")
-    side = sized_broadcast(gone.select(F.col("_d").alias(d), F.col("_t").alias(t), F.col("_p").alias(p)), gone.count(), 200_000)
+    rows, held = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_p")), F.lit(0))).first()
+    side = sized_broadcast(gone.select(F.col("_d").alias(d), F.col("_t").alias(t), F.col("_p").alias(p)), rows, 64 + 4 * held // max(rows, 1))
     keyed = df.withColumn(free_name(df, "_n"), number).withColumn(c, key)
     joined = keyed.join(side, (F.col(free_name(df, "_n")) == F.col(d)) & (F.col(c) == F.col(t)), "left")
     changed = F.col(p).isNotNull()

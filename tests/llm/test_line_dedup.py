@@ -58,3 +58,17 @@ def test_odd_rows(odd_docs, spark):
     assert line_dedup(odd_docs.limit(0)).count() == 0
     clash = spark.createDataFrame([(1, "a", 2, 3, 4, 5)], "doc_id long, text string, _d int, _t int, _p int, _C int")
     assert line_dedup(clash).collect() == clash.collect()
+
+
+def test_one_line_in_every_document(make_docs, prose):
+    hot = prose("hot", 60, 60)
+    docs = [(i, f"}}\n{prose(i, 20)}\n{hot}\n}}\n}}") for i in range(300)]
+    got = {r.doc_id: r.text for r in line_dedup(make_docs(docs)).collect()}
+    assert got == {i: t if not i else t.replace(f"\n{hot}\n}}\n}}", "") for i, t in docs}
+
+
+def test_text_ids_are_refused(spark):
+    import pytest
+
+    with pytest.raises(TypeError):
+        line_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
