@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .common import NO_ID, free_name, sized_broadcast, sliced, stored
+from .common import NO_ID, discard, free_name, sized_broadcast, sliced, stored, whole_id
 
 WORDS, REGISTERS, ROWS, THRESHOLD = 3, 192, 4, 0.5
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
+#: Scripts without spaces between words, of which each character is a word; and spaces and punctuation beyond ASCII.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+_BREAKS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u1680\u2000-\u206f\u3000-\u3004\u3008-\u3020\u30fb\ufe30-\ufe4f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -33,7 +37,7 @@ _WORDY = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of data, and where each begins. Words: ASCII letters and digits, and all of non-ASCII."""
+    """64-bit hashes of the words of data, and where each begins: runs of ASCII letters and digits and of all beyond ASCII."""
     raw = np.frombuffer(data, dtype=np.uint8)
     wordy = _WORDY[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], wordy, [False]]).astype(np.int8)))
@@ -52,6 +56,14 @@ def hash_long(word: bytes) -> int:
     return int(out)
 
 
+def normal(text: str) -> bytes:
+    """text in lower case, with blanks for spaces and punctuation beyond ASCII and around characters of unspaced scripts."""
+    text = text.lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", _BREAKS.sub(" ", text))
+    return text.encode("utf-8", "replace")
+
+
 def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, weight) of the distinct n-word shingles of each text, sorted, and a key of each text's words.
 
@@ -87,7 +99,7 @@ def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray,
 
     held = 0
     for i, text in enumerate(texts):
-        blob = text.lower().encode("utf-8", "replace")
+        blob = normal(text)
         if held + len(blob) >= CHUNK:
             flush()
             held = 0
@@ -165,27 +177,26 @@ def _signatures(registers: int, rows: int):
             band = np.zeros((len(seen), registers // rows), dtype=np.uint64)
             for r in range(rows):
                 band = mixed(band * _B + sigs[:, r :: rows][:, : registers // rows])
+            band = mixed(band + np.arange(registers // rows, dtype=np.uint64) * _BI)  # bands of one place alone meet
             yield pd.DataFrame({"_d": pdf["_d"].to_numpy()[seen], "_t": pdf["_t"].to_numpy()[seen], "_k": [f"{a:016x}{b:016x}" for a, b in key[seen].tolist()], "_bands": list(band.view(np.int64))})
 
     return sign
 
 
 def _shingle_blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each document's shingles, shortened to 32 bits, and their weights, as bytes."""
+    """Each document's shingles and their weights, as bytes; no weights where all are one."""
     for pdf in sliced(batches, CHUNK):
         doc, value, weight, _ = shingles(list(pdf["_x"]))
         begin = np.searchsorted(doc, np.arange(len(pdf) + 1))
-        short, weight = (value >> np.uint64(32)).astype("<u4"), weight.astype("<u4")
+        value, weight = value.astype("<u8"), weight.astype("<u4")
         spans = list(zip(begin[:-1].tolist(), begin[1:].tolist()))
-        yield pd.DataFrame({"_d": pdf["_d"].to_numpy(), "_t": pdf["_t"].to_numpy(), "_v": [short[a:b].tobytes() for a, b in spans], "_w": [weight[a:b].tobytes() for a, b in spans]})
+        plain = np.add.reduceat(np.append(weight > 1, False), begin[:-1]) * (begin[1:] > begin[:-1]) == 0 if len(weight) else np.ones(len(pdf), bool)
+        yield pd.DataFrame({"_d": pdf["_d"].to_numpy(), "_t": pdf["_t"].to_numpy(), "_v": [value[a:b].tobytes() for a, b in spans], "_w": [b"" if p else weight[a:b].tobytes() for p, (a, b) in zip(plain, spans)]})
 
 
 def _read(v: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
-    value, weight = np.frombuffer(v, "<u4"), np.frombuffer(w, "<u4")
-    if len(value) > 1 and (value[1:] == value[:-1]).any():  # two shingles shortened to one
-        value, at = np.unique(value, return_inverse=True)
-        weight = np.bincount(at, weights=weight)
-    return value, weight
+    value = np.frombuffer(v, "<u8")
+    return value, np.frombuffer(w, "<u4") if w else np.ones(len(value), dtype=np.uint32)
 
 
 @F.pandas_udf(DoubleType())
@@ -216,17 +227,45 @@ def components(edges: DataFrame) -> DataFrame:
         offers = found.select(F.explode(F.array(F.struct(F.col("_a").alias("n"), F.col("_r").alias("r")), F.struct(F.col("_o").alias("n"), F.col("_r").alias("r")))).alias("_x")).select("_x.n", "_x.r")
         least = offers.groupBy(F.col("n").alias("_n")).agg(F.min("r").alias("_m"))
         new = roots.join(least, "_n", "left").select("_n", F.least("_root", F.coalesce("_m", "_root")).alias("_root"), F.col("_root").alias("_was"))
-        new = stored(new, "roots")
+        new, old = stored(new, "roots"), roots
         up = new.select(F.col("_n").alias("_root"), F.col("_root").alias("_up"))
         jumped = stored(new.join(up, "_root", "left").select("_n", F.coalesce("_up", "_root").alias("_root"), "_was"), "roots")
+        discard(old, new)
         if not jumped.where(F.col("_root") != F.col("_was")).head(1):
+            discard(edges)
             return jumped.select("_n", "_root")
         roots = jumped.select("_n", "_root")
+        roots._glyphsift_path = jumped._glyphsift_path
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_d"), F.xxhash64(text).alias("_t"), text.alias("_x")).where(F.col("_x").isNotNull())
+    return df.select(whole_id(df, id_col).alias("_d"), F.xxhash64(text).alias("_t"), text.alias("_x")).where(F.col("_x").isNotNull())
+
+
+def _edges(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (_a, _b) of nodes, at least threshold alike, that connect all which some pair of a bucket connects.
+
+    Every member meets the first of its bucket. One that isn't similar to it meets the others there: the groups are those
+    of all pairs within buckets, without the square of a bucket of copies. As 1 less the probability Jaccard is a metric
+    (a consistent sample collides with just that probability), two members whose similarities to the first differ by more
+    than 1 - threshold can't reach the threshold: they don't meet.
+    """
+    bucket = Window.partitionBy("_h")
+    placed = nodes.select("_n", F.explode("_bands").alias("_h")).withColumn("_c", F.count("*").over(bucket)).where(F.col("_c") > 1)
+    placed = stored(placed.select("_h", "_n", F.min("_n").over(bucket).alias("_l")), "buckets")
+    wanted = placed.select("_n._d", "_n._t").distinct()
+    blobs = stored(docs.join(wanted, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).mapInPandas(_shingle_blobs, "_d long, _t long, _v binary, _w binary"), "shingles")
+    others = placed.where(F.col("_n") != F.col("_l"))
+    first = _verified(others.select(F.col("_l").alias("_a"), F.col("_n").alias("_b")).distinct(), blobs, "verified")
+    like = others.join(first.select(F.col("_a").alias("_l"), F.col("_b").alias("_n"), "_s"), ["_l", "_n"]).select("_h", "_n", "_s")
+    far = like.where(F.col("_s") < threshold).select("_h", F.col("_n").alias("_a"), F.col("_s").alias("_sa"))
+    more = far.join(like.select("_h", F.col("_n").alias("_b"), "_s"), "_h").where((F.col("_a") != F.col("_b")) & (F.abs(F.col("_sa") - F.col("_s")) <= 1 - threshold + 1e-9))
+    more = more.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct().join(first, ["_a", "_b"], "left_anti")
+    second = _verified(more, blobs, "verified")
+    edges = stored(first.union(second).where(F.col("_s") >= threshold), "edges")
+    discard(placed, blobs, first, second)
+    return edges
 
 
 def _members(df: DataFrame, id_col: str, text_col: str, threshold: float, registers: int, rows: int) -> DataFrame:
@@ -235,50 +274,53 @@ def _members(df: DataFrame, id_col: str, text_col: str, threshold: float, regist
     signed = stored(docs.mapInPandas(_signatures(registers, rows), "_d long, _t long, _k string, _bands array<long>"), "signatures")
     # Texts of the same words are one node: thousands of copies cost one signature from here on.
     nodes = stored(signed.groupBy("_k").agg(F.min(F.struct("_d", "_t")).alias("_n"), F.min_by("_bands", F.struct("_d", "_t")).alias("_bands")), "nodes")
-    bucket = Window.partitionBy("_i", "_h")
-    placed = nodes.select("_n", F.posexplode("_bands").alias("_i", "_h")).withColumn("_c", F.count("*").over(bucket)).where(F.col("_c") > 1)
-    placed = stored(placed.select("_i", "_h", "_n", F.min("_n").over(bucket).alias("_l")), "buckets")
-    wanted = placed.select("_n._d", "_n._t").distinct()
-    blobs = stored(docs.join(wanted, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).mapInPandas(_shingle_blobs, "_d long, _t long, _v binary, _w binary"), "shingles")
-    # Every member meets the first of its bucket. One that isn't similar to it meets all others there: the groups are
-    # those of all pairs within buckets, without the square of a bucket of copies.
-    star = placed.where(F.col("_n") != F.col("_l")).select(F.col("_l").alias("_a"), F.col("_n").alias("_b")).distinct()
-    first = _verified(star, blobs, "verified")
-    far = placed.join(first.where(F.col("_s") < threshold).select(F.col("_a").alias("_l"), F.col("_b").alias("_n")), ["_l", "_n"])
-    rest = placed.where(F.col("_n") != F.col("_l")).select("_i", "_h", F.col("_n").alias("_b"))
-    more = far.select("_i", "_h", F.col("_n").alias("_a")).join(rest, ["_i", "_h"]).where(F.col("_a") != F.col("_b"))
-    more = more.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct().join(first, ["_a", "_b"], "left_anti")
-    second = _verified(more, blobs, "verified")
-    edges = first.union(second).where(F.col("_s") >= threshold)
+    edges = _edges(docs, nodes, threshold)
     roots = components(edges)
     rooted = nodes.select("_k", "_n").join(roots, "_n", "left").select("_k", F.coalesce("_root", "_n").alias("_root"))
     group = Window.partitionBy("_root")
     rows_ = signed.select("_d", "_t", "_k").join(rooted, "_k").withColumn("_c", F.count("*").over(group)).where(F.col("_c") > 1)
-    return rows_.select("_d", "_t", "_root", (F.row_number().over(group.orderBy("_d", "_t")) == 1).alias("_kept"))
+    members = stored(rows_.select("_d", "_t", "_root", (F.row_number().over(group.orderBy("_d", "_t")) == 1).alias("_kept")), "members")
+    discard(signed, nodes, edges)
+    return members
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     """One row (id, group_id, kept) for each document of a group of near copies; a document without copies has none.
 
     Documents are alike if the probability Jaccard of their weighted 3-word shingles, computed exactly for each candidate
-    pair, is at least the threshold; groups are the connected ones. Candidates agree in a band of rows registers of the
-    ProbMinHash signature; 48 bands of 4 find a pair at 0.5 with a chance of 0.95, at 0.6 of 0.998. Words are those of
-    word_hashes(), without case. One row of a group is kept, that of the smallest id (nulls last), then text key; group_id
-    is its id. Texts that are null or without words are nobody's copies. Repeated rows are copies of each other. Texts
-    count whole; other columns are ignored; an empty table gives no rows.
+    pair, is at least the threshold; groups are the connected ones, so that of a chain in which each is like the next, one
+    stays though its ends may differ. Candidates agree in a band of rows registers of the ProbMinHash signature; 48 bands
+    of 4 find a pair at 0.5 with a chance of 0.95, at 0.6 of 0.998. Words are those of word_hashes() in normal() texts; of
+    scripts without spaces each character is one. One row of a group is kept, that of the smallest id (nulls last), then
+    text key; group_id is its id. Texts that are null or without words are nobody's copies. Repeated rows are copies of
+    each other. Texts count whole; other columns are ignored; an empty table gives no rows. Ids must be whole numbers.
     """
     out = _members(df, id_col, text_col, threshold, registers, rows)
     number = lambda x: F.when(x != NO_ID, x)
     return out.select(number(F.col("_d")).alias(id_col), number(F.col("_root._d")).alias("group_id"), F.col("_kept").alias("kept"))
 
 
-def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """df with one row of each group of near_groups(), all columns as they are; rows in no group all stay."""
-    d, t, k, n = (free_name(df, x) for x in ("_d", "_t", "_kept", "_rows"))
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, registers: int = REGISTERS, rows: int = ROWS, gather: str | None = None, separator: str = "\x1f") -> DataFrame:
+    """df with one row of each group of near_groups(), all columns as they are; rows in no group all stay.
+
+    gather names a string column in which the row kept gets the values of its whole group: parted at the separator, each
+    once, in order. Null and empty values add nothing; where a group has no other, the row's own value stays.
+    """
+    d, t, k, n, g, d0, t0 = (free_name(df, x) for x in ("_d", "_t", "_kept", "_rows", "_gathered", "_d0", "_t0"))
     members = _members(df, id_col, text_col, threshold, registers, rows)
-    keys = stored(members.groupBy(F.col("_d").alias(d), F.col("_t").alias(t)).agg(F.max("_kept").alias(k), F.count("*").alias(n)), "members")
-    own = df.withColumn(free_name(df, "_d0"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(free_name(df, "_t0"), F.xxhash64(F.col(text_col).cast("string")))
-    joined = own.join(sized_broadcast(keys, keys.count()), (own[free_name(df, "_d0")] == F.col(d)) & (own[free_name(df, "_t0")] == F.col(t)), "left")
+    keys = members.groupBy(F.col("_d").alias(d), F.col("_t").alias(t)).agg(F.max("_kept").alias(k), F.count("*").alias(n), F.first("_root").alias("_root"))
+    keys = stored(keys, "keys")
+    count = keys.count()
+    own = df.withColumn(d0, whole_id(df, id_col)).withColumn(t0, F.xxhash64(F.col(text_col).cast("string")))
+    here = lambda side: (own[d0] == side[d]) & (own[t0] == side[t])
+    side = keys.drop("_root")
+    if gather:
+        values = own.join(sized_broadcast(keys, count, 64), here(keys)).select("_root", F.explode(F.split(F.col(gather), separator)).alias("_x")).where(F.col("_x") != "")
+        values = values.groupBy("_root").agg(F.array_join(F.array_sort(F.collect_set("_x")), separator).alias(g))
+        side = stored(keys.join(values.withColumnRenamed("_root", "_r"), F.col("_root") == F.col("_r"), "left").select(d, t, k, n, F.when(F.col(k), F.col(g)).alias(g)), "gathered")
+    joined = own.join(sized_broadcast(side, count, 96), here(side), "left")
+    if gather:
+        joined = joined.withColumn(gather, F.when(F.col(k), F.coalesce(F.col(g), F.col(gather))).otherwise(F.col(gather)))
     once = joined.where(F.col(k).isNull() | (F.col(k) & (F.col(n) == 1))).select(*df.columns)
     if not keys.where(F.col(k) & (F.col(n) > 1)).head(1):
         return once
@@ -287,3 +329,19 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def copies_query(spark, sf_dir: str) -> DataFrame:
+    """What SQL can check of it: each exact copy of a text with words, and that it shares a group with the first of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5("text").alias("k")).where(F.col("text").rlike("[A-Za-z]"))
+    first = docs.groupBy("k").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    groups = stored(query(spark, sf_dir), "groups")
+    pairs = docs.join(first, "k").join(groups.select("doc_id", "group_id", "kept"), "doc_id", "left")
+    pairs = pairs.join(groups.select(F.col("doc_id").alias("first_id"), F.col("group_id").alias("first_group")), "first_id", "left")
+    together = F.coalesce(F.col("group_id") == F.col("first_group"), F.lit(False))
+    return pairs.select("doc_id", "first_id", together.alias("together"), F.coalesce(~F.col("kept") | (F.col("doc_id") == F.col("first_id")), F.lit(False)).alias("one_kept"))
+
+
+COPIES_ORACLE = """
+with d as (select doc_id, min(doc_id) over (partition by text) first_id, count(*) over (partition by text) n from documents where regexp_matches(text, '[A-Za-z]'))
+select doc_id, first_id, true together, true one_kept from d where n > 1"""

@@ -100,3 +100,40 @@ def test_odd_rows(odd_docs, spark):
     assert near_groups(odd_docs.limit(0)).collect() == [] and drop_duplicates(odd_docs.limit(0)).collect() == []
     clash = spark.createDataFrame([(1, "a b", 2, 3, 4), (2, "a b", 2, 3, 4)], "doc_id long, text string, _d int, _kept int, _T int")
     assert [tuple(r) for r in drop_duplicates(clash).collect()] == [(1, "a b", 2, 3, 4)]
+
+
+def test_scripts_without_spaces(make_docs):
+    rng = random.Random(6)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(240))
+    other = "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(240))
+    got = {r.doc_id: r.group_id for r in near_groups(make_docs([(1, text), (2, text[:100] + "新" + text[101:]), (3, other)])).collect()}
+    assert got == {1: 1, 2: 1}
+
+
+def test_the_kept_row_gathers_its_group(make_docs, prose):
+    docs = [(1, prose(1), "en", "b"), (2, prose(1), "en", "a"), (3, prose(1), "en", None), (4, prose(4), "en", "c"), (5, prose(5), "en", None), (6, prose(5), "en", "")]
+    kept = {r.doc_id: r.source for r in drop_duplicates(make_docs(docs), gather="source", separator="|").collect()}
+    assert kept == {1: "a|b", 4: "c", 5: None}
+
+
+def test_unlike_members_of_a_bucket_are_not_all_compared(spark, make_docs, prose, monkeypatch):
+    """Copies of a leader and texts half like it share buckets; all groups are still those of all pairs."""
+    from glyphsift.llm import minhash_dedup as md
+
+    seen = []
+    real = md._verified
+    monkeypatch.setattr(md, "_verified", lambda pairs, blobs, name: seen.append(pairs.count()) or real(pairs, blobs, name))
+    base = prose(1, 200, 1000)
+    docs = [(i, edited(base, 0.004, i)) for i in range(60)] + [(100 + i, " ".join(base.split(" ")[:60]) + " " + prose(f"o{i}", 260, 1000)) for i in range(40)]
+    got = {r.doc_id: r.group_id for r in near_groups(make_docs(docs)).collect()}
+    assert got == dict.fromkeys(range(60), 0)
+    assert sum(seen) < 100 * 99 / 2
+
+
+def test_odd_ids_are_refused(spark):
+    import pytest
+
+    with pytest.raises(TypeError):
+        near_groups(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(Exception, match="stands for null"):
+        near_groups(spark.createDataFrame([((1 << 63) - 1, "b c d")], "doc_id long, text string")).collect()
