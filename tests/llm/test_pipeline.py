@@ -32,10 +32,31 @@ def test_stages_on_a_small_corpus(spark, make_docs, prose, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     counts = Counter(r.doc_id for r in docs.collect())
     assert Counter(r.doc_id for r in packed) == counts and max(r.bin_offset + r.tokens for r in packed) <= CAPACITY
+    # The copy of 1 in another source, which line dedup emptied, is gone; 130 stands for itself and 131.
+    by_id = {r.doc_id: r.source for r in spark.read.parquet(f"{tmp_path}/minhash_near_dedup").collect()}
+    assert by_id[130] == "s2"
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(json.dumps(r.asDict()) for r in whole) == sorted(json.dumps(r.asDict()) for r in packed)
 
 
+def test_shared_texts_are_mixed_from_all_their_sources(spark, make_docs, prose):
+    """Near copies in two sources leave one document, which the mixture can take for either."""
+    rows = []
+    for i in range(40):
+        text = prose(i, 120, 1000)
+        rows += [(i, text, "en", "big"), (100 + i, text.replace(" ", " new ", 1), "en", "small")]
+    rows += [(200 + i, prose(200 + i, 120, 1000), "en", "big") for i in range(60)] + [(300, prose(300, 120, 1000), "en", "small")]
+    docs = make_docs(rows)
+    unique = corpus_pipeline.drop_near_copies(spark, docs, "")
+    sources = Counter(r.source for r in unique.collect())
+    assert sources == {"big\x1fsmall": 40, "big": 60, "small": 1}
+    mixed = corpus_pipeline.mix_sources(spark, unique, "").collect()
+    taken = {(r.source, r.doc_id < 100) for r in mixed}
+    assert ("small", True) in taken and {s for s, _ in taken} == {"big", "small"}
+    again = corpus_pipeline.mix_sources(spark, unique.union(unique.where("doc_id < 20")), "").collect()
+    assert sorted((r.doc_id, r.source) for r in again) == sorted((r.doc_id, r.source) for r in mixed)
+
+
 def test_an_empty_corpus(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
