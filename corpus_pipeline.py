@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glyphsift.llm import line_dedup, minhash_dedup, mixing, packing, quality_rules
-from glyphsift.llm.common import free_name, sized_broadcast, stored
+from glyphsift.llm.common import discard, stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,19 +19,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return minhash_dedup.drop_duplicates(docs)
+    """One document of each group of near copies; its source names those of the whole group, see mixing.SEPARATOR."""
+    return minhash_dedup.drop_duplicates(docs, gather="source", separator=mixing.SEPARATOR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mixture takes."""
-    chosen = stored(mixing.mix(docs), "mixture")
-    i, k, n, own, copy = (free_name(docs, x) for x in ("_id", "_key", "_copies", "_own", "_copy"))
-    copies = chosen.groupBy(F.col("doc_id").alias(i), F.col("text_key").alias(k)).agg(F.count("*").cast("int").alias(n))
-    copies = sized_broadcast(copies, chosen.count())
-    keyed = docs.withColumn(own, F.md5(F.col("text").cast("string").cast("binary")))
-    joined = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies[i]) & (keyed[own] == copies[k]))
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    """A row for each copy of a document that the mixture takes, with the source that it is taken for."""
+    return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +47,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
