@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upper_median(x: Column) -> Column:
-    """The middle value, of two middle ones the larger; null of none."""
-    sorted_ = F.sort_array(F.collect_list(x))
-    return F.try_element_at(sorted_, (F.floor(F.size(sorted_) / 2) + 1).cast("int"))
+def upper_median(name: str) -> Column:
+    """The middle value of a column, of two middle ones the larger; null of none. Values are counted, not gathered."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{name}` desc)")
 
 
 def variant_order(v: Column) -> Column:
@@ -34,7 +33,8 @@ def compare(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
 
 def aggregate(rows: DataFrame) -> DataFrame:
     """One row a variant: n, positives, cleared, clear_rate, means and upper medians, cost, notes, in a fixed order."""
-    delta = F.col("score_before") - F.col("score_after")
+    rows = rows.withColumn("_delta", F.col("score_before") - F.col("score_after"))
+    delta = F.col("_delta")
     q = lambda name: F.avg(F.col(f"quality.{name}"))
     out = rows.groupBy("variant").agg(
         F.count("*").alias("n"),
@@ -42,7 +42,7 @@ def aggregate(rows: DataFrame) -> DataFrame:
         F.count_if("after_pos").alias("after_positive"),
         F.count_if("cleared").alias("cleared"),
         F.avg(delta).alias("mean_score_delta"),
-        upper_median(delta).alias("median_score_delta"),
+        upper_median("_delta").alias("median_score_delta"),
         q("lexical_divergence").alias("mean_lexical_divergence"),
         q("length_ratio").alias("mean_length_ratio"),
         q("numbers_preserved").alias("mean_numbers_preserved"),
@@ -50,10 +50,10 @@ def aggregate(rows: DataFrame) -> DataFrame:
         q("tokens_out").alias("mean_tokens_out"),
         F.avg("attempts").alias("mean_attempts"),
         F.avg("seconds").alias("mean_seconds"),
-        upper_median(F.col("seconds")).alias("median_seconds"),
+        upper_median("seconds").alias("median_seconds"),
         F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"),
         F.coalesce(F.sum("quality.tokens_out"), F.lit(0)).alias("tokens_out"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("notes")))).alias("notes"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("notes")))).alias("notes"),
     )
     rate = F.when(F.col("before_positive") > 0, F.col("cleared") / F.col("before_positive"))
     per = F.when(F.col("tokens_out") > 0, F.col("cleared") / F.col("tokens_out") * 1_000_000)

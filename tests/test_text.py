@@ -69,6 +69,24 @@ def test_scores(spark):
     assert got[5].sentence_count == 0 and got[5].burstiness_cv is None and got[5].score <= got[1].score + 0.05
 
 
+def test_measures_equal_the_columns(spark):
+    odd = ["", "One. Two three!  Four?\nfive", FENCED, "open\n```\nhidden. words.", "a\r\nb. c\x85d", "Moreover, delve into it. Moreover we plays a key role. " * 9, "x. " * 70]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    t = F.col("text")
+    mean, cv = text.mean_and_cv(text.sentence_lengths(text.sentences(t)))
+    want = df.select(text.word_count(t), F.size(text.sentences(t)), phrases.weight(t), mean, cv).collect()
+    got = df.select(st.text_measures("text").alias("m")).select("m.word_count", "m.sentence_count", "m.phrase_tenths", "m.mean_words", "m.cv").collect()
+    for a, b in zip(want, got):
+        assert tuple(a)[:4] == pytest.approx(tuple(b)[:4])
+        assert (a[4] is None and (b[4] is None or b[4] != b[4])) or a[4] == pytest.approx(b[4])
+
+
+def test_words_of_the_divergence_are_ascii(spark):
+    rows = [("don_t stop café now", "don t stop caf now"), ("你好 世界", "再见 世界"), ("a b", None)]
+    got = spark.createDataFrame(rows, "a string, b string").select(compare.lexical_divergence(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in got] == [0.0, 0.0, None]
+
+
 def test_comparison(spark):
     rows = [("", ""), ("a b", ""), ("word", "word"), ("a b c", "a b d"), ("x 12 y 7", "z 7"), ("see http://a.b/c", "see")]
     df = spark.createDataFrame(rows, "a string, b string")
