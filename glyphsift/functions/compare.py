@@ -8,21 +8,43 @@ from pyspark.sql.window import Window
 
 from .text import list_overlap
 
-TOKEN = r"[\p{L}\p{N}_]+"
+TOKEN = "[a-z0-9]+"
+
+
+def _tokens(t: Column) -> Column:
+    return F.regexp_extract_all(F.lower(t), F.lit(TOKEN), F.lit(0))
+
+
+def _pairs(words: Column) -> Column:
+    return F.array_distinct(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once: an expression named inside a lambda is computed for each use."""
+    return F.transform(F.array(value), use)[0]
 
 
 def bigrams(t: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(t), F.lit(TOKEN), F.lit(0))
-    pair = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
-    return F.array_distinct(F.transform(F.array(words), pair)[0])
+    """Distinct pairs of neighbouring words."""
+    return _let(_tokens(t), lambda w: F.filter(_pairs(w), lambda x: x.contains(" ")))
 
 
 def lexical_divergence(a: Column, b: Column) -> Column:
-    """1 - Jaccard of word bigrams; 0 where neither text has words or bigrams, 1 where one alone has words."""
-    wa, wb = F.regexp_count(a, F.lit(TOKEN)), F.regexp_count(b, F.lit(TOKEN))
-    x, y = bigrams(a), bigrams(b)
-    union = F.size(F.array_union(x, y))
-    return F.when((wa == 0) & (wb == 0), F.lit(0.0)).when((wa == 0) | (wb == 0), F.lit(1.0)).when(union == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(x, y)) / union)
+    """1 - Jaccard of word bigrams; 0 where neither text has words or bigrams, 1 where one alone has words.
+
+    Words are runs of ASCII letters and digits, as the reference counts them.
+    """
+    sides = F.struct(_tokens(a).alias("a"), _tokens(b).alias("b"))
+    own = lambda w: F.filter(_pairs(w), lambda x: x.contains(" "))
+    sets = lambda s: F.struct(F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb"), own(s["a"]).alias("x"), own(s["b"]).alias("y"))
+
+    def distance(s: Column) -> Column:
+        both = F.size(F.array_intersect(s["x"], s["y"]))
+        return _let(F.struct(both.alias("n"), (F.size(s["x"]) + F.size(s["y"]) - both).alias("u"), s["na"].alias("na"), s["nb"].alias("nb")), lambda c: (
+            F.when((c["na"] == 0) & (c["nb"] == 0), F.lit(0.0)).when((c["na"] == 0) | (c["nb"] == 0), F.lit(1.0)).when(c["u"] == 0, F.lit(0.0)).otherwise(1 - c["n"] / c["u"])
+        ))
+
+    return F.when(a.isNotNull() & b.isNotNull(), _let(sides, lambda s: _let(sets(s), distance)))
 
 
 def numbers_preserved(a: Column, b: Column) -> Column:

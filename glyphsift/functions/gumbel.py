@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 WINDOW, THRESHOLD = 4, 1e-6
 REPORT = "tokens_total int, skipped_no_context int, skipped_repeated int, counted int, statistic double, p_value double, score double, is_watermarked boolean"
@@ -32,15 +31,14 @@ def token_id(token: Column) -> Column:
 
 
 def masking(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """Per document: tokens_total, skipped_no_context, skipped_repeated, counted, without the key."""
-    toks = tokens(F.col(text_col))
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode_outer(toks).alias("pos", "tok"))
-    order = Window.partitionBy("id").orderBy("pos")
-    rows = rows.withColumn("ctx", F.concat_ws(" ", *[F.lag("tok", k).over(order) for k in range(window, 0, -1)]))
-    first = F.row_number().over(Window.partitionBy("id", "ctx").orderBy("pos")) == 1
-    rows = rows.withColumn("first", (F.col("pos") >= window) & F.when(F.col("pos") >= window, first))
-    out = rows.groupBy("id").agg(F.count("tok").alias("tokens_total"), F.count_if(F.col("pos") < window).alias("skipped_no_context"), F.count_if((F.col("pos") >= window) & ~F.col("first")).alias("skipped_repeated"), F.count_if("first").alias("counted"))
-    return out.withColumnRenamed("id", id_col)
+    """Per document: tokens_total, skipped_no_context, skipped_repeated, counted, without the key. No rows are made of tokens."""
+    words, ctx = F.col("_g.w"), F.col("_g.c")
+    # A lambda's argument is computed once.
+    shingles = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - window, F.lit(0))), lambda _, i: F.array_join(F.slice(w, i + 1, window), " "))
+    both = F.transform(F.array(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))), lambda w: F.struct(w.alias("w"), shingles(w).alias("c")))[0]
+    rows = df.select(F.col(id_col).alias("_i"), both.alias("_g")).select("_i", F.size(words).alias("n"), F.size(ctx).alias("m"), F.size(F.array_distinct(ctx)).alias("u"))
+    whole = lambda c, name: c.cast("long").alias(name)
+    return rows.select(F.col("_i").alias(id_col), whole(F.col("n"), "tokens_total"), whole(F.least("n", F.lit(window)), "skipped_no_context"), whole(F.col("m") - F.col("u"), "skipped_repeated"), whole(F.col("u"), "counted"))
 
 
 def key_bytes(key: str) -> bytes:
@@ -65,24 +63,40 @@ def survival(s, n):
 
 def detect(ids: list[int], key: bytes, window: int = WINDOW, threshold: float = THRESHOLD, mask: bool = True) -> tuple:
     """The report on token ids, in the order of REPORT."""
-    seen = set()
-    counted = repeated = 0
-    total = 0.0
-    for i in range(window, len(ids)):
-        context = tuple(ids[i - window : i])
-        if mask and context in seen:
-            repeated += 1
-            continue
-        seen.add(context)
-        counted += 1
-        total -= math.log1p(-uniform(key, context, ids[i]))
+    return detect_packed(struct.pack(f">{len(ids)}Q", *ids), key, window, threshold, mask)
+
+
+def detect_packed(ids: bytes, key: bytes, window: int = WINDOW, threshold: float = THRESHOLD, mask: bool = True) -> tuple:
+    """detect() on ids of 8 bytes each, the most significant first: a context is a slice of them."""
+    n, wide, seen, uniforms = len(ids) // 8, 8 * window, set(), []
+    digest, repeated = hmac.digest, 0
+    for end in range(wide, len(ids), 8):
+        context = ids[end - wide : end]
+        if mask:
+            if context in seen:
+                repeated += 1
+                continue
+            seen.add(context)
+        uniforms.append(digest(digest(key, context, "sha256"), ids[end : end + 8], "sha256")[:8])
+    counted = len(uniforms)
+    u = (np.frombuffer(b"".join(uniforms), dtype=">u8").astype(np.float64) + 0.5) / 2.0**64
+    total = math.fsum(-np.log1p(-np.minimum(u, 1 - 2.0**-53)))
     p = survival(total, counted)
     score = (-math.log10(p) if p > 0 else 300.0) if counted else 0.0
-    return len(ids), min(window, len(ids)), repeated, counted, total if counted else None, p, abs(score), bool(counted and p < threshold)
+    return n, min(window, n), repeated, counted, total if counted else None, p, abs(score), bool(counted and p < threshold)
 
 
 def simple_ids(text: str) -> list[int]:
-    return [int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big") for t in re.findall("[a-z0-9]+", text.lower())]
+    return list(struct.unpack(f">{len(packed := packed_ids(text)) // 8}Q", packed))
+
+
+def packed_ids(text: str) -> bytes:
+    """The ids of a text's tokens, the first 8 bytes of their SHA-256, one after the other."""
+    known: dict[str, bytes] = {}
+    found = re.findall("[a-z0-9]+", text.lower())
+    for t in set(found):
+        known[t] = hashlib.sha256(t.encode()).digest()[:8]
+    return b"".join(map(known.__getitem__, found))
 
 
 def detect_udf(key: str, window: int = WINDOW, threshold: float = THRESHOLD):
@@ -91,7 +105,7 @@ def detect_udf(key: str, window: int = WINDOW, threshold: float = THRESHOLD):
     @F.pandas_udf(REPORT)
     def report(texts: pd.Series) -> pd.DataFrame:
         names = [c.split(" ")[0] for c in REPORT.split(", ")]
-        return pd.DataFrame([detect(simple_ids(t), raw, window, threshold) if t is not None else (None,) * 8 for t in texts], columns=names)
+        return pd.DataFrame([detect_packed(packed_ids(t), raw, window, threshold) if t is not None else (None,) * 8 for t in texts], columns=names)
 
     return report
 

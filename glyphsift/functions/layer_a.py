@@ -52,8 +52,27 @@ def _joined(points: list[tuple[int, int]]) -> cp.Ranges:
 KIND_CLASSES = {k: cp.regex_class(rs) for k, rs in exclusive_kinds().items()} | {"space": cp.regex_class(cp.SPACES)}
 
 
+#: Characters below all but two suspect ones: most of any Latin text goes in one cheap pass.
+PLAIN_RUN = r"[\x00-\x9f\xa1-\xac\xae-\x{34E}]+"
+
+
+def odd_characters(t: Column) -> Column:
+    """t without runs of plain characters: what of it can be suspect at all, in order."""
+    return F.regexp_replace(t, PLAIN_RUN, "")
+
+
 def kind_counts(t: Column) -> dict[str, Column]:
-    return {k: F.regexp_count(t, F.lit(c)) for k, c in KIND_CLASSES.items()}
+    odd = odd_characters(t)
+    return {k: F.regexp_count(odd, F.lit(c)) for k, c in KIND_CLASSES.items()}
+
+
+def suspicious_total(t: Column) -> Column:
+    return F.regexp_count(odd_characters(t), F.lit("|".join(KIND_CLASSES.values())))
+
+
+def is_suspect(t: Column) -> Column:
+    """Whether the exact scan could report or change anything."""
+    return odd_characters(t).rlike(SUSPECT)
 
 
 def clean_spaces(t: Column) -> Column:
