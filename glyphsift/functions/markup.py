@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import embedded
+
 AI_NAME = r"aigc|ai[-_ ]?generated|anthropic|c2pa|claude|content.?credential|digital.?source|gemini|generator|openai|provenance|synthid"
 VENDOR = r"anthropic|chatgpt|claude|copilot|dall.?e|gemini|midjourney|openai|stable.?diffusion|synthid"
 HINTS = r"contentcredentials|digitalsourcetype|algorithmicmedia|ai generated|generated by|c2pa|aigc"
@@ -13,7 +15,7 @@ META_TAG = r"(?i)<meta\b[^>]*>"
 DATA_AI = r"""(?i)\bdata-ai[-\w]*\s*=\s*["'][^'"]*["']"""
 JSON_LD = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>.*?</script>"""
 NAME_IS_GENERATOR = r"""(?i)\b(?:name|property|generator)\s*=\s*["']generator["']"""
-DATA_URI = r"""(?i)data:image/[a-z0-9.+-]+(?:;[a-z0-9=._-]+)*,[^\s"'<>)]+"""
+DATA_URI = r"""(?i)data:image/[a-z0-9.+-]+(?:;[^\s"'<>),]+)*,[a-z0-9+/=%\s]+"""
 KEY = r"(?m)^([-.\w]+)[ \t]*:.*$"
 FRONT_MATTER = r"\A---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|\z)"
 #: Front-matter keys that tell of a generator.
@@ -69,6 +71,11 @@ def clean_html(html: Column) -> Column:
     return F.regexp_replace(out, r"\s*" + DATA_AI.replace("(?i)", "(?i:") + ")", "")
 
 
+def clean_html_all(html: Column) -> Column:
+    """clean_html(), and the images inside as data URIs cleaned: (text, actions)."""
+    return embedded.clean_udf()(clean_html(html))
+
+
 def front_matter(text: Column) -> Column:
     """The front-matter block, or an empty string."""
     return F.regexp_extract(text, FRONT_MATTER, 1)
@@ -134,4 +141,4 @@ def clean_svg(svg: Column) -> Column:
 def data_uris(text: Column) -> Column:
     """Array of (mime, payload) of base64 image URIs; a payload that isn't base64 is null."""
     uris = F.filter(F.regexp_extract_all(text, F.lit(DATA_URI), F.lit(0)), lambda u: F.lower(u).contains(";base64,"))
-    return F.transform(uris, lambda u: F.struct(F.regexp_extract(F.lower(u), "^data:([^;,]+)", 1).alias("mime"), F.try_to_binary(F.regexp_extract(u, ",(.*)$", 1), F.lit("base64")).alias("payload")))
+    return F.transform(uris, lambda u: F.struct(F.regexp_extract(F.lower(u), "^data:([^;,]+)", 1).alias("mime"), F.try_to_binary(F.regexp_replace(F.regexp_extract(u, r",([\s\S]*)$", 1), r"\s", ""), F.lit("base64")).alias("payload")))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import binary
+from . import layer_a
 
 C2PA = (b"c2pa", b"c2ma", b"jumb", b"cai:", b"contentauth", b"contentcredentials")
 HINTS = (b"aigc", b"ai generated", b"algorithmicmedia", b"anthropic", b"c2pa", b"claude", b"contentcredentials", b"dcterms:provenance", b"digitalsourcetype", b"generated by", b"openai", b"synthid")
@@ -242,6 +243,34 @@ def _clean_id3(data: bytes, keep: bool) -> tuple[bytes, list[str]]:
     return bytes(out), actions
 
 
+#: Parts whose text runs are cleaned of invisible carriers: documents, sheets, slides, shared strings, chapters.
+TEXT_PART = re.compile(r"^(?:word/(?:document|header\d*|footer\d*|footnotes|endnotes|comments)|xl/sharedStrings|xl/worksheets/[^/]+|ppt/(?:slides|notesSlides)/[^/]+|content)\.xml$|\.(?:xhtml|html?)$", re.I)
+_RUN = re.compile(r">([^<]+)<")
+_REFERENCE = re.compile(r"&#(?:[xX][0-9a-fA-F]{1,6}|\d{1,7});")
+
+
+def clean_run(raw: str) -> str:
+    """A text run without invisible carriers, those written as character references too; else as it was."""
+    text = decode_entities(raw) if "&#" in raw else raw
+    if not any(True for _ in layer_a.scan(text, spaces=False)):
+        return raw
+    new = layer_a.clean(text, spaces=False)[0]
+    return encode_entities(new) if text is not raw else new
+
+
+def _clean_runs(body: bytes, name: str) -> bytes:
+    try:
+        xml = body.decode("utf-8")
+    except UnicodeDecodeError:
+        return body
+    if xml.isascii() and not _REFERENCE.search(xml):
+        return body
+    skip = r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>"
+    kept = [m.span() for m in re.finditer(skip, xml)] if name.lower().endswith(("html", "htm")) else []
+    inside = lambda at: any(lo <= at < hi for lo, hi in kept)
+    return _RUN.sub(lambda m: m[0] if inside(m.start()) else f">{clean_run(m[1])}<", xml).encode()
+
+
 FIELDS = "creator lastModifiedBy title subject description keywords category Application AppVersion Company Manager"
 
 
@@ -267,13 +296,18 @@ def _clean_zip(data: bytes, keep: bool) -> tuple[bytes, list[str]]:
                 if budget < 0:
                     return data, []
                 new = body
-                if info.filename.startswith("docProps/") or info.filename == "meta.xml":
+                if info.filename.endswith(".opf"):
+                    new = re.sub(rb"(?is)<(?:opf:)?meta\b[^>]*(?:name|property)\s*=\s*[\"'](?:[\w-]+:)?(?:generator|software)[\"'][^>]*?(?:/>|>[^<]*</(?:opf:)?meta\s*>)", b"", body)
+                    new = re.sub(rb"(?is)<(dc:contributor|dc:creator)\b[^>]*>([^<]*)</\1\s*>", lambda m: b"" if hits(m[2]) or PRODUCTS.search(m[2]) else m[0], new)
+                elif info.filename.startswith("docProps/") or info.filename == "meta.xml":
                     tags = "|".join(FIELDS.split()) + "|generator|initial-creator"
                     new = re.sub(rf"(<(?:\w+:)?({tags})\b[^>]*>)[^<]*(</)".encode(), rb"\1\3", body)
                 elif gone and info.filename.endswith((".rels", "[Content_Types].xml")):
                     names = b"|".join(re.escape(n.encode()) for n in sorted(gone))
                     new = re.sub(rb"<(?:Relationship|Override)\b[^>]*?(?:Target|PartName)\s*=\s*[\"'](?:\.\./|/)?(?:" + names + rb")[\"'][^>]*/>", b"", body)
-                elif sniff(body) in CLEANERS and sniff(body) != "zip":
+                elif TEXT_PART.search(info.filename):
+                    new = _clean_runs(body, info.filename)
+                elif sniff(body) in CLEANERS and sniff(body) not in ("zip", "pdf"):
                     new, own = CLEANERS[sniff(body)](body, keep)
                     actions += [f"{info.filename}: {a}" for a in own]
                 if new != body and not actions[-1:] == [f"blank {info.filename}"]:
@@ -285,8 +319,28 @@ def _clean_zip(data: bytes, keep: bool) -> tuple[bytes, list[str]]:
     return (out.getvalue(), actions) if actions else (data, [])
 
 
+def _clean_bmp(data: bytes, keep: bool) -> tuple[bytes, list[str]]:
+    """What follows the pixels goes, and the size in the header is set anew."""
+    for kind, at, _, body in binary.bmp_extent(data):
+        if kind == "trailing" and body and _drop(kind, body, True, keep):
+            return data[:2] + struct.pack("<I", at) + data[6:at], [f"drop BMP trailing ({len(body)} bytes)"]
+    return data, []
+
+
+_PACKET = re.compile(rb"(?is)<\?xpacket begin.*?<\?xpacket end[^?]*\?>")
+
+
+def _clean_pdf(data: bytes, keep: bool) -> tuple[bytes, list[str]]:
+    """XMP packets outside compressed streams become blanks of the same length: offsets of the file stay true."""
+    gone = [m.span() for m in _PACKET.finditer(data) if _drop("", m[0], True, keep)]
+    out = bytearray(data)
+    for lo, hi in gone:
+        out[lo:hi] = b" " * (hi - lo)
+    return bytes(out), ["blank PDF XMP packet"] * len(gone)
+
+
 CLEANERS: dict[str, Callable[[bytes, bool], tuple[bytes, list[str]]]] = {
-    "png": _clean_png, "jpeg": _clean_jpeg, "webp": _clean_riff, "wav": _clean_riff, "gif": _clean_gif, "tiff": _clean_tiff, "mp3": _clean_id3, "zip": _clean_zip,
+    "png": _clean_png, "jpeg": _clean_jpeg, "webp": _clean_riff, "wav": _clean_riff, "gif": _clean_gif, "tiff": _clean_tiff, "mp3": _clean_id3, "zip": _clean_zip, "bmp": _clean_bmp, "pdf": _clean_pdf,
 } | dict.fromkeys(("avif", "heic", "mp4"), _clean_iso)
 
 

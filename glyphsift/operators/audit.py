@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import layer_a, markup
+from ..functions import embedded, formats, layer_a, markup, media
 from ..functions.confidence import LEVELS, confidence, sarif_rule
-from .stylometry import GATE, findings, stylometry
+from .stylometry import GATE, stylometry
 
 ITEM = ("path", "kind", "has_c2pa", "has_ai_metadata", "suspicious_total", "findings", "confidence")
 
@@ -17,22 +17,72 @@ def with_confidence(items: DataFrame) -> DataFrame:
 
 
 def text_items(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", check_stylometry: bool = False) -> DataFrame:
-    """Audit items of plain texts: Layer A findings, and the stylometric ones where the score reaches the gate.
+    """Audit items of plain texts: Layer A findings, and one of style where the score reaches the gate.
 
-    Texts without any suspect character never reach Python: the exact scan runs on the others alone.
+    One scan: the text of rows without any suspect character never reaches Python, where the exact scan runs.
     """
     out = stylometry(df.select(id_col, text_col), text_col) if check_stylometry else df.select(id_col, text_col)
-    suspect = F.coalesce(F.col(text_col).rlike(layer_a.SUSPECT), F.lit(False))
-    none = F.from_json(F.lit("[]"), layer_a.HIT)
-    both = out.where(suspect).withColumn("_hits", layer_a.inspect_udf()(text_col)).unionByName(out.where(~suspect).withColumn("_hits", none))
+    hits = layer_a.inspect_udf()(F.when(layer_a.is_suspect(F.col(text_col)), F.col(text_col)))
+    both = out.withColumn("_hits", F.coalesce(hits, F.from_json(F.lit("[]"), layer_a.HIT)))
     said = F.transform("_hits", lambda h: F.format_string("layer-a [%s] %s x%d", h["kind"], h["label"], h["count"]))
+    sure = F.transform("_hits", lambda h: h["confidence"])
     total = F.aggregate("_hits", F.lit(0), lambda a, h: a + h["count"])
     if check_stylometry:
-        high = F.col("score") >= GATE
-        said = F.when(high, F.concat(said, F.array(F.format_string("stylometry: %s probability (score %.2f)", "confidence_level", "score")), F.transform(findings(both, text_col), lambda x: F.concat(F.lit("stylometry: "), x)))).otherwise(said)
-        total = total + F.when(high, 1).otherwise(0)
+        high = F.coalesce(F.col("score") >= GATE, F.lit(False))
+        said = F.when(high, F.concat(said, F.array(style_finding()))).otherwise(said)
+        sure = F.when(high, F.concat(sure, F.array(F.lit("probable")))).otherwise(sure)
+        total = total + high.cast("int")
     no = F.lit(False)
-    return with_confidence(both.select(F.col(id_col).cast("string").alias("path"), F.lit("text").alias("kind"), no.alias("has_c2pa"), no.alias("has_ai_metadata"), total.alias("suspicious_total"), said.alias("findings")))
+    return both.select(F.col(id_col).cast("string").alias("path"), F.lit("text").alias("kind"), no.alias("has_c2pa"), no.alias("has_ai_metadata"), total.alias("suspicious_total"), said.alias("findings"), sure.alias("confidence"))
+
+
+def style_finding() -> Column:
+    return F.format_string("stylometry [high_probability] score %.2f (%s)", "score", "confidence_level")
+
+
+def file_items(files: DataFrame, check_stylometry: bool = False) -> DataFrame:
+    """Audit items of files (path, content) of any kind: each is classified once and goes to the inspector of its kind.
+
+    Text goes through the exact scan, images, audio and video, packages and PDF through theirs, HTML, Markdown and SVG
+    through theirs and, but for SVG, the exact scan of their body. What isn't known is 'unknown' without findings.
+    """
+    wanted = F.col("path"), F.col("content")
+    return _file_items(files.select("path", "content", formats.classify(*wanted).alias("_kind")), check_stylometry)
+
+
+def _file_items(files: DataFrame, check_stylometry: bool) -> DataFrame:
+    ext = formats.extension(F.col("path"))
+    box = F.when(F.col("_kind") == "container", F.coalesce(formats.container_format(F.col("content"), ext), F.lit("unknown")))
+    markup_kind = box.isin("html", "markdown", "svg")
+    text = F.when((F.col("_kind") == "text") | markup_kind, F.decode(F.col("content"), "UTF-8"))
+    binary = F.when(F.col("_kind").isin("image", "av") | ((F.col("_kind") == "container") & ~markup_kind), F.col("content"))
+    rows = files.select("path", "_kind", box.alias("_box"), text.alias("_text"), binary.alias("_bin"))
+    if check_stylometry:
+        rows = stylometry(rows, "_text")
+    rows = rows.withColumn("_r", media.inspect_udf()("_bin")).withColumn("_hits", layer_a.inspect_udf()(F.when((F.coalesce(F.col("_box"), F.lit("")) != "svg") & layer_a.is_suspect(F.col("_text")), F.col("_text"))))
+    t, kind = F.col("_text"), F.coalesce("_box", "_kind")
+    none, no = F.array().cast("array<string>"), F.lit(False)
+    html, md, svg = (F.col("_box") == x for x in ("html", "markdown", "svg"))
+    uris = embedded.inspect_udf()(F.when((html | svg) & F.lower(t).contains("data:image/"), t))
+    rows = rows.withColumn("_u", uris)
+    own = F.when(html, markup.html_findings(t)).when(md, markup.markdown_findings(t)).when(svg, markup.svg_findings(t)).otherwise(F.coalesce(F.col("_r.findings"), none))
+    own = F.concat(own, F.coalesce(F.col("_u.findings"), none))
+    plain = F.col("_kind") == "text"
+    hits = F.coalesce("_hits", F.from_json(F.lit("[]"), layer_a.HIT))
+    said = F.transform(hits, lambda h: F.when(plain, F.format_string("layer-a [%s] %s x%d", h["kind"], h["label"], h["count"])).otherwise(F.format_string("layer-a: U+%04X %s x%d (%s)", h["codepoint"], h["label"], h["count"], h["kind"])))
+    sure = F.transform(hits, lambda h: F.when(plain, h["confidence"]).otherwise("probable"))
+    ai_keys = F.exists(markup.front_matter_keys(t), lambda k: k["ai"] | k["ai_value"])
+    c2pa = F.when(html, markup.html_has_c2pa(t)).otherwise(F.coalesce(F.col("_r.has_c2pa"), no)) | F.coalesce(F.col("_u.has_c2pa"), no)
+    ai = F.when(html, markup.html_has_ai(t)).when(md, ai_keys).when(svg, F.size(markup.svg_findings(t)) > 0).otherwise(F.coalesce(F.col("_r.has_ai_metadata"), no)) | F.coalesce(F.col("_u.has_ai_metadata"), no)
+    total = F.aggregate(hits, F.lit(0), lambda a, h: a + h["count"])
+    found, level = F.concat(own, said), F.concat(F.transform(own, confidence), sure)
+    if check_stylometry:
+        high = F.coalesce((F.col("score") >= GATE) & ~F.coalesce(svg, no), no)
+        found, level = (F.when(high, F.concat(x, F.array(y))).otherwise(x) for x, y in ((found, style_finding()), (level, F.lit("probable"))))
+        total = total + high.cast("int")
+    shown = F.when(F.col("_kind").isin("image", "av"), F.coalesce(F.col("_r.format"), kind)).otherwise(kind)
+    out = rows.select("path", shown.alias("kind"), c2pa.alias("has_c2pa"), ai.alias("has_ai_metadata"), total.alias("suspicious_total"), found.alias("findings"), level.alias("confidence"))
+    return out.where(F.col("kind") != "unknown").unionByName(rows.where(kind == "unknown").select("path", F.lit("unknown").alias("kind"), no.alias("has_c2pa"), no.alias("has_ai_metadata"), F.lit(0).alias("suspicious_total"), none.alias("findings"), none.alias("confidence")))
 
 
 def html_items(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

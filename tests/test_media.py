@@ -120,3 +120,40 @@ def test_detectors(spark):
     finally:
         detectors.unregister("broken")
         detectors.unregister("gumbel")
+
+
+def test_bmp_and_pdf_are_cleaned_in_place():
+    from glyphsift.plans import binary_queries as made
+
+    bmp = made._bmp("")
+    out, actions = media.clean(bmp)
+    assert out == bmp[:2] + (58).to_bytes(4, "little") + bmp[6:58] and len(actions) == 1
+    assert media.clean(out) == (out, [])
+    pdf = made._pdf("")
+    out, actions = media.clean(pdf)
+    assert len(out) == len(pdf) and b"OpenAI" not in out and b"c2pa aigc" in out and actions == ["blank PDF XMP packet"]
+
+
+def test_text_runs_of_packages():
+    assert media.clean_run("a&#x200B;b &amp; c") == "ab &amp; c"
+    assert media.clean_run("plain &amp; &#65;") == "plain &amp; &#65;"
+    assert media.clean_run("na\u00a0me\u200b") == "na\u00a0me"
+    xml = "<w:p a='\u200b'><w:t>x\u200by</w:t></w:p>"
+    assert media._clean_runs(xml.encode(), "word/document.xml").decode() == "<w:p a='\u200b'><w:t>xy</w:t></w:p>"
+    page = "<p>a\u200bb</p><script>x\u200b</script>"
+    assert media._clean_runs(page.encode(), "c1.xhtml").decode() == "<p>ab</p><script>x\u200b</script>"
+
+
+def test_images_in_text():
+    import base64
+    from urllib.parse import quote
+
+    from glyphsift.functions import embedded
+    from glyphsift.plans import binary_queries as made
+
+    png = base64.b64encode(made._png("x", 1)).decode()
+    page = f"<img src='data:image/png;base64,{png[:40]}\n{png[40:]}'> <i style='url(data:image/svg+xml,{quote('<svg><metadata>openai</metadata></svg>')})'> data:image/png;base64,!!"
+    c2pa, ai, found = embedded.inspect(page)
+    assert c2pa and ai and any(f.startswith("embedded data:image/png: PNG chunk caBX") for f in found) and "embedded data:image/svg+xml: svg <metadata> present" in found
+    new, actions = embedded.clean(page)
+    assert len(actions) == 2 and embedded.inspect(new) == (False, False, []) and embedded.clean(new) == (new, [])
