@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import ipaddress
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats
 
 #: Folders that a directory audit passes over, beside those whose name begins with a dot.
-SKIPPED = ("node_modules", "__pycache__", "venv", "env", "dist", "build", "target", "vendor", "site-packages", "coverage", "htmlcov")
+SKIPPED = ("__pycache__", "build", "dist", "node_modules", "target", "venv")
 BATCH_LIMIT, SITEMAP_CAP, PAGE_CAP, PAGE_DEPTH = 50, 64 << 20, 200, 3
 
 
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+
+def below(spark: SparkSession, path: Column, root: str) -> Column:
+    """The part of a path below root, whatever folders root itself lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(at).toString().rstrip("/")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    return F.substr(plain(path), F.lit(len(re.sub("^file:/+", "file:/", whole)) + 1))
+
+
 def read_tree(spark: SparkSession, root: str, size_cap: int = formats.SIZE_CAP) -> DataFrame:
-    """(path, length, content) of the files below root of at most size_cap bytes, skipped folders left out.
+    """(path, length, content) of the files below root of at most size_cap bytes; skipped folders below it are left out.
 
     The size filter reaches the file listing, so larger files are never opened. Spark itself passes over files and
     folders that begin with a dot or an underscore.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= size_cap)
-    return files.where(~F.col("path").rlike("/(?:" + "|".join(SKIPPED) + r"|\.[^/]+)/")).select("path", "length", "content")
+    files = _tree(spark, root).where(F.col("length") <= size_cap)
+    skipped = below(spark, F.col("path"), root).rlike("/(?:" + "|".join(SKIPPED) + r"|\.[^/]+)/")
+    return files.where(~skipped).select("path", "length", "content")
 
 
 def too_large(spark: SparkSession, root: str, size_cap: int = formats.SIZE_CAP) -> DataFrame:
     """(path, reason) of the files that read_tree() leaves out for their size, without reading them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") > size_cap)
-    return files.select("path", F.lit("too large").alias("reason"))
+    return _tree(spark, root).where(F.col("length") > size_cap).select("path", F.lit("too large").alias("reason"))
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -69,6 +88,50 @@ def sitemap_urls(xml: Column) -> Column:
     return F.when(safe, F.transform(F.xpath(xml, F.lit('//*[local-name()="loc"]/text()')), lambda x: F.trim(x)))
 
 
+def plain_sitemap_udf():
+    """The text of a sitemap file, unpacked where it is gzip; null where it isn't readable or unpacks beyond SITEMAP_CAP."""
+
+    def unpack(data: bytes) -> str | None:
+        if data[:2] == b"\x1f\x8b":
+            try:
+                data = gzip.GzipFile(fileobj=io.BytesIO(data)).read(SITEMAP_CAP + 1)
+            except (OSError, EOFError):
+                return None
+        return data.decode("utf-8", "replace") if len(data) <= SITEMAP_CAP else None
+
+    @F.pandas_udf("string")
+    def plain(contents: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else unpack(bytes(c)) for c in contents], dtype=object)
+
+    return plain
+
+
+def sitemaps_in_robots(robots: Column) -> Column:
+    """The sitemaps that a robots.txt names, each once, in order."""
+    lines = F.regexp_extract_all(robots, F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), F.lit(1))
+    return F.array_distinct(lines)
+
+
+def is_public_address_udf():
+    """Whether a numeric address is a public one; addresses of other machines behind IPv4-mapped forms count as those.
+
+    Null for what isn't an address.
+    """
+
+    def public(host: str) -> bool | None:
+        try:
+            address = ipaddress.ip_address(host.strip("[]").split("%", 1)[0])
+        except ValueError:
+            return None
+        return (getattr(address, "ipv4_mapped", None) or address).is_global
+
+    @F.pandas_udf("boolean")
+    def checked(hosts: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else public(h) for h in hosts], dtype=object)
+
+    return checked
+
+
 def is_sitemap_index(xml: Column) -> Column:
     return xml.rlike(r"(?is)^\s*(?:<\?xml.*?\?>)?\s*(?:<!--.*?-->\s*)*<(?:\w+:)?sitemapindex\b")
 
@@ -104,3 +167,31 @@ def write_report(df: DataFrame, folder: str, kind: str = "json") -> None:
     """df as JSON lines, quoted CSV, text or Parquet, in a new folder: an existing one raises."""
     writer = df.write.mode("errorifexists")
     {"json": writer.json, "text": writer.text, "parquet": writer.parquet, "csv": lambda f: writer.option("header", True).option("quoteAll", True).csv(f)}[kind](folder)
+
+
+def batch_response(results: DataFrame) -> DataFrame:
+    """(id, body): the JSON answer to each batch of results (id, ord, name, content, error), entries in their order.
+
+    Contents travel in base64, entries that failed with their error; a batch that failed as a whole has that alone.
+    """
+    entry = F.struct(F.col("ord"), F.col("name"), F.base64("content").alias("file"), F.col("error"))
+    rows = results.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.max(F.when(F.col("ord").isNull(), F.col("error"))).alias("whole"))
+    body = F.to_json(F.struct(F.transform("e", lambda x: F.struct(x["name"].alias("name"), x["file"].alias("file"), x["error"].alias("error"))).alias("files")))
+    return rows.select("id", F.when(F.col("whole").isNotNull(), F.to_json(F.struct(F.col("whole").alias("error")))).otherwise(body).alias("body"))
+
+
+#: The options that a request may set, and their kinds.
+OPTIONS = {"nfkc": "boolean", "confusables": "boolean", "spaces": "boolean", "strip_glue": "boolean", "strip_bidi": "boolean"}
+
+
+def allowed_options(options: Column) -> Column:
+    """Of a map of options (name to text), the known ones with true or false for a value; the others go."""
+    good = F.map_filter(options, lambda k, v: k.isin(*OPTIONS) & F.lower(v).isin("true", "false"))
+    return F.transform_values(good, lambda k, v: F.lower(v) == "true")
+
+
+def markdown_report(summary: DataFrame, title: str = "Benchmark") -> str:
+    """A small summary table as Markdown."""
+    head = f"# {title}\n\n| " + " | ".join(summary.columns) + " |\n|" + "-|" * len(summary.columns)
+    show = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x).replace("|", "\\|")
+    return "\n".join([head, *("| " + " | ".join(map(show, r)) + " |" for r in summary.collect())]) + "\n"

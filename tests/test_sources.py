@@ -93,6 +93,39 @@ def test_tree_and_corpus(spark, tmp_path):
     assert files.read_paths(spark, [f"file://{tmp_path}/a.txt"]).first().length == 5
 
 
+def test_a_tree_below_folders_with_skipped_names(spark, tmp_path):
+    root = tmp_path / "build" / ".hidden" / "proj"
+    for name in ("a.txt", "vendor/b.txt", "build/c.txt", "sub/node_modules/d.txt", "sub/e.txt"):
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x")
+    for given in (str(root), f"file://{root}", f"{root}/"):
+        assert sorted(r.path.split("proj/")[1] for r in files.read_tree(spark, given).collect()) == ["a.txt", "sub/e.txt", "vendor/b.txt"]
+
+
+def test_sitemap_files_and_addresses(spark):
+    import gzip
+
+    xml = b"<urlset><url><loc>https://a.example/</loc></url></urlset>"
+    rows = [(1, bytearray(xml)), (2, bytearray(gzip.compress(xml))), (3, bytearray(b"\x1f\x8bbroken")), (4, None)]
+    got = spark.createDataFrame(rows, "i int, content binary").select("i", files.plain_sitemap_udf()("content").alias("x")).collect()
+    assert [r.x for r in sorted(got)] == [xml.decode(), xml.decode(), None, None]
+    robots = spark.createDataFrame([("User-agent: *\nSitemap: https://a.example/1.xml\n sitemap:https://a.example/2.xml\nSitemap: https://a.example/1.xml",)], "t string")
+    assert robots.select(files.sitemaps_in_robots(F.col("t")).alias("m")).first().m == ["https://a.example/1.xml", "https://a.example/2.xml"]
+    hosts = spark.createDataFrame([("1.1.1.1",), ("192.168.0.1",), ("[::1]",), ("::ffff:10.0.0.1",), ("name",), (None,)], "h string")
+    assert [r.p for r in hosts.select(files.is_public_address_udf()("h").alias("p")).collect()] == [True, False, False, False, None, None]
+
+
+def test_responses_options_and_report(spark):
+    rows = [(1, 0, "a", bytearray(b"x"), None), (1, 1, "b", None, "file is missing"), (2, None, None, None, "files is empty")]
+    got = {r.id: json.loads(r.body) for r in files.batch_response(spark.createDataFrame(rows, "id int, ord int, name string, content binary, error string")).collect()}
+    assert got == {1: {"files": [{"name": "a", "file": "eA=="}, {"name": "b", "error": "file is missing"}]}, 2: {"error": "files is empty"}}
+    options = spark.createDataFrame([({"nfkc": "True", "exec": "true", "spaces": "1", "strip_bidi": "false"},)], "o map<string,string>")
+    assert options.select(files.allowed_options(F.col("o")).alias("x")).first().x == {"nfkc": True, "strip_bidi": False}
+    text = files.markdown_report(spark.createDataFrame([("a|b", 0.5, None)], "variant string, rate double, x int"))
+    assert text.splitlines()[2:] == ["| variant | rate | x |", "|-|-|-|", "| a\\|b | 0.5000 |  |"]
+
+
 def test_batches(spark):
     enc = base64.b64encode(b"hi").decode()
     rows = [(1, json.dumps({"files": [{"file": enc, "name": "a"}, {"file": "%", "name": "b"}, {"name": "c"}]})), (2, "x"), (3, '{"files": []}'), (4, json.dumps({"files": [{"file": enc}] * 51}))]
