@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import formats, markup
+from ..functions import compare, formats, gumbel, markup
 from ..functions.confidence import CONFIRMED, INFORMATIONAL, LEVELS, PROBABLE, confidence
+from ..functions.layer_a import KIND_CLASSES
 from ..operators import audit, bench, relations
 from ..operators import stylometry as st
-from ..sources import binary, files
+from ..sources import files
+from ..sources.tables import table
 from . import seeded
 from .seeded import DOCUMENTS_SQL, PAGES_SQL, _quote
 from .text_queries import STYLE_SQL
@@ -28,7 +30,7 @@ NAMES = (
 
 
 def _finding_rows(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id")
     return docs.withColumn("finding", F.get(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES)).cast("int")))
 
 
@@ -57,11 +59,18 @@ add("suspicious_docs", lambda s, d: _items(s, d).where(audit.is_suspicious()).se
 add("audit_summary", lambda s, d: audit.summary(_items(s, d)), f"with {ITEMS_SQL} select {_SUMS} from found")
 add("audit_summary_by_kind", lambda s, d: audit.summary(_items(s, d), "kind"), f"with {ITEMS_SQL} select kind, {_SUMS} from found group by kind")
 add("findings_by_confidence_zero_filled", lambda s, d: audit.findings_by_confidence(_items(s, d).where("has_c2pa and not has_ai_metadata and suspicious_total = 1")), f"with {ITEMS_SQL}, c as (select unnest(conf) confidence from found where has_c2pa and not has_ai_metadata and suspicious_total = 1) select l.confidence, count(c.confidence) n from (values " + ", ".join(f"('{x}')" for x in LEVELS) + ") l(confidence) left join c using (confidence) group by all")
-add("run_status", lambda s, d: audit.run_status(_items(s, d), s.read.parquet(f"{d}/documents.parquet").where("n_chars > 20000").select("doc_id")), f"with {ITEMS_SQL}, f as (select count(*) failed from documents where n_chars > 20000), a as (select count(*) actionable from found where {_ACT}) select failed, actionable, case when failed > 0 then 3 when actionable > 0 then 1 else 0 end status from f, a")
+add("run_status", lambda s, d: audit.run_status(_items(s, d), table(s, d, "documents").where("n_chars > 20000").select("doc_id")), f"with {ITEMS_SQL}, f as (select count(*) failed from documents where n_chars > 20000), a as (select count(*) actionable from found where {_ACT}) select failed, actionable, case when failed > 0 then 3 when actionable > 0 then 1 else 0 end status from f, a")
 add("sarif_results", lambda s, d: audit.sarif_results(_items(s, d)), f"""with {ITEMS_SQL}, x as (select path, has_c2pa, unnest(findings) finding, unnest(conf) c, generate_subscripts(findings, 1)::int - 1 ord from found)
 select path, ord, finding, case when regexp_matches(lower(finding), 'c2pa|jumbf') or has_c2pa then 'C2PA' when contains(lower(finding), 'layer-a') then 'UNICODE-LAYER-A' when contains(lower(finding), 'stylometry') then 'STYLES-HIGH-PROBABILITY' else 'METADATA' end rule_id,
 case when regexp_matches(lower(finding), 'c2pa|jumbf') or has_c2pa then 'error' when contains(lower(finding), 'layer-a') then case when c in ('confirmed', 'probable') then 'warning' else 'note' end when contains(lower(finding), 'stylometry') then 'note' when c = 'confirmed' then 'error' when c = 'informational' then 'note' else 'warning' end as level from x""")
-add("sarif_report", lambda s, d: audit.sarif(_items(s, d)).select(F.length("sarif").alias("n"), F.get_json_object("sarif", "$.version").alias("version")))
+def _sarif(spark, sf):
+    doc = audit.sarif(_items(spark, sf))
+    part = lambda path: F.get_json_object("sarif", path)
+    return doc.select(part("$.version").alias("version"), F.json_array_length(part("$.runs[0].results")).alias("results"), F.json_array_length(part("$.runs[0].tool.driver.rules")).alias("rules"), F.size(F.split(F.col("sarif"), '"ruleId":"C2PA"')).alias("c2pa"))
+
+
+add("sarif_report", _sarif, f"""with {ITEMS_SQL}, x as (select has_c2pa, unnest(findings) finding from found)
+select '2.1.0' as version, count(*)::int results, 4 rules, count(*) filter (regexp_matches(lower(finding), 'c2pa|jumbf') or has_c2pa)::int + 1 c2pa from x""")
 
 
 def _by_source(spark, sf):
@@ -69,7 +78,7 @@ def _by_source(spark, sf):
     from ..functions import layer_a
 
     scored = st.stylometry(docs.select("doc_id", "source", "text"))
-    total = sum(layer_a.kind_counts(F.col("text")).values(), F.lit(0))
+    total = layer_a.suspicious_total(F.col("text"))
     return scored.groupBy("source").agg(F.count("*").alias("docs"), F.sum(total).alias("suspicious_total"), *[F.count_if(F.col("confidence_level") == x).alias(x.lower()) for x in ("HIGH", "MEDIUM", "LOW", "CLEAN")])
 
 
@@ -82,7 +91,10 @@ def _by_source_sql():
 
 
 add("audit_by_source", _by_source, _by_source_sql())
-add("audit_text_items", lambda s, d: audit.text_items(seeded.documents(s, d), check_stylometry=True).select("path", "suspicious_total", F.size("findings").alias("n_findings")))
+_any = "|".join(KIND_CLASSES.values())
+add("audit_text_items", lambda s, d: audit.text_items(seeded.documents(s, d), check_stylometry=True).select("path", "suspicious_total", F.size("findings").alias("n_findings"), F.concat_ws("|", "confidence").alias("confidence")), STYLE_SQL + f"""
+, found as (select doc_id, regexp_extract_all(text, '{_any}') h from docs where text is not null), x as (select doc_id, len(h) n, len(list_distinct(h)) k, list_distinct(h)[1] one, (coalesce(score, 0) >= 0.65)::int high from found join scored using (doc_id))
+select doc_id::varchar path, (n + high)::int suspicious_total, (k + high)::int n_findings, array_to_string(list_filter([case when k > 0 then case when one in (chr(160), chr(12288)) then 'informational' else 'probable' end end, case when high > 0 then 'probable' end], lambda c: c is not null), '|') confidence from x""")
 
 # Markup
 NAME, HINT, VEND = markup.AI_NAME, markup.HINTS, markup.VENDOR
@@ -101,22 +113,25 @@ add("html_audit_summary", lambda s, d: audit.summary(audit.html_items(seeded.pag
   len(list_filter({TAGS_SQL}, lambda t: {AI('t')})) > 0 or len({LD_SQL}) > 0 or len({DATA_SQL}) > 0 has_ai_metadata,
   list_transform(list_transform(list_filter({TAGS_SQL}, lambda t: {CMS('t')} or {AI('t')}), lambda t: case when {CMS('t')} then 'info: cms generator: ' else 'meta: ' end || left(t, 120))
     || list_transform({LD_SQL}, lambda b: 'json-ld provenance-like block') || list_transform({DATA_SQL}, lambda a: 'attr: ' || left(a, 80)), lambda f: {CONF('f')}) conf from pgs) select {_SUMS} from found""")
-add("html_clean", lambda s, d: seeded.pages(s, d).select("page_id", F.md5(markup.clean_html(F.col("html")).cast("binary")).alias("digest"), F.size(F.filter(markup.meta_tags(markup.clean_html(F.col("html"))), lambda m: m["ai"])).alias("ai_left")))
+DROP_DATA_SQL = _q(r"\s*" + markup.DATA_AI.replace("(?i)", "(?i:") + ")")
+CLEAN_SQL = f"regexp_replace(list_reduce(list_prepend(html, list_distinct(list_filter({TAGS_SQL}, lambda t: {AI('t')}) || {LD_SQL})), lambda a, x: replace(a, x, '')), '{DROP_DATA_SQL}', '', 'g')"
+add("html_clean", lambda s, d: seeded.pages(s, d).select("page_id", markup.clean_html(F.col("html")).alias("html")).select("page_id", F.md5(F.col("html").cast("binary")).alias("digest"), F.size(F.filter(markup.meta_tags(F.col("html")), lambda m: m["ai"])).alias("ai_left")),
+    f"with {PAGES_SQL}, c as (select page_id, {CLEAN_SQL} html from pgs) select page_id, md5(html) digest, len(list_filter({TAGS_SQL}, lambda t: {AI('t')}))::int ai_left from c")
 
 
 def _matter(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     head = F.when(F.col("doc_id") % 3 == 0, "---\ntitle: x\ngenerator: gpt\n  nested: y\nnote: made by OpenAI\nmodel: z\n---\n").otherwise("")
-    return docs.select("doc_id", F.concat(head, F.left("text", F.lit(100))).alias("text"))
+    return docs.select("doc_id", F.concat(head, F.col("text")).alias("text"))
 
 
 add("markdown_front_matter", lambda s, d: _matter(s, d).select("doc_id", F.concat_ws("|", markup.markdown_findings(F.col("text"))).alias("findings")), "select doc_id, case when doc_id % 3 = 0 then 'frontmatter key: generator|frontmatter value hit on note|frontmatter key: model' else '' end findings from documents")
-add("markdown_clean", lambda s, d: _matter(s, d).select("doc_id", markup.clean_markdown_udf()("text").alias("text")), "select doc_id, case when doc_id % 3 = 0 then '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) else '' end || left(text, 100) as text from documents")
-add("guess_kind_by_url", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", formats.guess_kind(F.col("url"), F.col("html")).alias("kind")), r"""
+add("markdown_clean", lambda s, d: _matter(s, d).select("doc_id", markup.clean_markdown_udf()("text").alias("text")), "select doc_id, case when doc_id % 3 = 0 then '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) else '' end || text as text from documents")
+add("guess_kind_by_url", lambda s, d: table(s, d, "pages").select("page_id", formats.guess_kind(F.col("url"), F.col("html")).alias("kind")), r"""
 select page_id, case when regexp_matches(regexp_replace(url, '[?#].*$', ''), '/[^/]*\.(?i:html?)$') then 'html' when contains(lower(left(html, 2000)), '<html') or starts_with(ltrim(left(html, 100), ' ' || chr(9) || chr(10) || chr(13)), '<')
 then case when starts_with(ltrim(left(html, 100), ' ' || chr(9) || chr(10) || chr(13)), '<') and contains(lower(left(html, 500)), 'svg') then 'svg' else 'html' end else 'text' end kind from pages""")
-add("looks_binary", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", formats.binary_reason(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("BM"), F.col("text"))).when(F.col("doc_id") % 4 == 1, F.concat(F.left("text", F.lit(5)), F.lit("\x00"), F.col("text"))).otherwise(F.col("text")).cast("binary")).alias("reason")), "select doc_id, case doc_id % 4 when 0 then 'bmp' when 1 then 'nul' end reason from documents")
-add("batch_explode_errors", lambda s, d: files.batch_items(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "nonsense").otherwise(F.to_json(F.struct(F.array(F.struct(F.base64(F.encode(F.left("text", F.lit(20)), "UTF-8")).alias("file"), F.lit("a.md").alias("name")), F.struct(F.lit("!").alias("file"), F.lit("b.md").alias("name"))).alias("files")))).alias("body"))).select("id", "name", "error"), "select doc_id id, null::varchar as name, 'files must be a list' error from documents where doc_id % 5 = 0 union all select doc_id, 'a.md', null from documents where doc_id % 5 <> 0 union all select doc_id, 'b.md', 'file is not base64' from documents where doc_id % 5 <> 0")
+add("looks_binary", lambda s, d: table(s, d, "documents").select("doc_id", formats.binary_reason(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("BM"), F.col("text"))).when(F.col("doc_id") % 4 == 1, F.concat(F.left("text", F.lit(5)), F.lit("\x00"), F.col("text"))).otherwise(F.col("text")).cast("binary")).alias("reason")), "select doc_id, case doc_id % 4 when 0 then 'bmp' when 1 then 'nul' end reason from documents")
+add("batch_explode_errors", lambda s, d: files.batch_items(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "nonsense").otherwise(F.to_json(F.struct(F.array(F.struct(F.base64(F.encode(F.left("text", F.lit(20)), "UTF-8")).alias("file"), F.lit("a.md").alias("name")), F.struct(F.lit("!").alias("file"), F.lit("b.md").alias("name"))).alias("files")))).alias("body"))).select("id", "name", "error"), "select doc_id id, null::varchar as name, 'files must be a list' error from documents where doc_id % 5 = 0 union all select doc_id, 'a.md', null from documents where doc_id % 5 <> 0 union all select doc_id, 'b.md', 'file is not base64' from documents where doc_id % 5 <> 0")
 
 # Benchmark rows
 def _bench_rows(spark, sf):
@@ -125,7 +140,7 @@ def _bench_rows(spark, sf):
     quality = F.struct(((d % 10) / 10).alias("lexical_divergence"), (1 + (d % 3) / 10).alias("length_ratio"), F.lit(1.0).alias("numbers_preserved"), F.lit(1.0).alias("urls_preserved"), (d % 100).cast("int").alias("tokens_in"), (d % 120).cast("int").alias("tokens_out"))
     before = d % 5 != 0
     after = d % 3 == 0
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", variant.alias("variant"), before.alias("before_pos"), after.alias("after_pos"), F.when(before, ~after).alias("cleared"), ((d % 17) / 2).alias("score_before"), ((d % 5) / 2).alias("score_after"), quality.alias("quality"), (d % 7).cast("double").alias("seconds"), F.lit(0.25).alias("usd"), (d % 3).cast("int").alias("attempts"), F.array(F.concat(F.lit("note "), (d % 2).cast("string"))).alias("notes"))
+    return table(spark, sf, "documents").select("doc_id", variant.alias("variant"), before.alias("before_pos"), after.alias("after_pos"), F.when(before, ~after).alias("cleared"), ((d % 17) / 2).alias("score_before"), ((d % 5) / 2).alias("score_after"), quality.alias("quality"), (d % 7).cast("double").alias("seconds"), F.lit(0.25).alias("usd"), (d % 3).cast("int").alias("attempts"), F.array(F.concat(F.lit("note "), (d % 2).cast("string"))).alias("notes"))
 
 
 def _bench(spark, sf):
@@ -137,7 +152,7 @@ add("bench_aggregate", _bench, """with r as (select doc_id, case doc_id % 4 when
 select variant, count(*) n, count(*) filter (b) before_positive, count(*) filter (a) after_positive, count(*) filter (b and not a) cleared, round(avg(sb - sa), 6) mean_score_delta, list_sort(list(sb - sa))[count(*) // 2 + 1] median_score_delta,
 round(avg((doc_id % 10) / 10), 6) mean_lexical_divergence, list_sort(list((doc_id % 7)::double))[count(*) // 2 + 1] median_seconds, count(*) * 0.25::double usd, sum(doc_id % 120)::bigint tokens_out, array_to_string(list_sort(list(distinct 'note ' || (doc_id % 2))), '|') notes,
 round(case when count(*) filter (b) > 0 then count(*) filter (b and not a) / count(*) filter (b) end, 6) clear_rate, round(count(*) filter (b and not a) / sum(doc_id % 120) * 1000000, 3) clears_per_mtok_out from r group by variant""")
-add("upper_median", lambda s, d: s.read.parquet(f"{d}/documents.parquet").groupBy("lang").agg(bench.upper_median(F.col("n_chars")).alias("median")), "select lang, list_sort(list(n_chars))[count(*) // 2 + 1] median from documents group by lang")
+add("upper_median", lambda s, d: table(s, d, "documents").groupBy("lang").agg(bench.upper_median("n_chars").alias("median")), "select lang, list_sort(list(n_chars))[count(*) // 2 + 1] median from documents group by lang")
 add("bench_compare", lambda s, d: (lambda r: bench.compare(r.select("doc_id", F.col("before_pos").alias("pos"), F.col("score_before").alias("score")), r.select("doc_id", F.col("after_pos").alias("pos"), F.col("score_after").alias("score")), ["doc_id"]))(_bench_rows(s, d)), "select doc_id, doc_id % 5 <> 0 before_pos, (doc_id % 17) / 2 score_before, doc_id % 3 = 0 after_pos, (doc_id % 5) / 2 score_after, case when doc_id % 5 <> 0 then doc_id % 3 <> 0 end cleared from documents")
 
 
@@ -155,3 +170,40 @@ add("dangling_relationships", lambda s, d: relations.dangling_relationships(_rel
 add("encrypted_parts_excluded", lambda s, d: relations.readable_parts(_parts(s, d), _parts(s, d).where("n = 2")).groupBy("package").agg(F.count("*").alias("parts")), "select l_orderkey package, count(*) parts from lineitem where l_linenumber <> 2 group by all")
 add("pruned_spine", lambda s, d: relations.prune_spine(_rels(s, d).select("package", F.col("rel_id").alias("id"), F.col("target").alias("href")), _parts(s, d).select("package", F.col("n").alias("idref")), _parts(s, d))[1], "select l_orderkey package, l_linenumber idref from lineitem a where exists (select 1 from lineitem b where b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1)")
 add("pruned_manifest", lambda s, d: relations.prune_manifest(_rels(s, d).select("package", F.col("target").alias("full_path")), _parts(s, d)).groupBy("package").agg(F.count("*").alias("entries")), "select l_orderkey package, count(*) entries from lineitem a where exists (select 1 from lineitem b where b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1) group by all")
+
+
+def _spans(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"))
+    return relations.tag_spans(li.where("pos % 3 = 1"), li.where("pos % 3 = 0"))
+
+
+add("tag_spans", _spans, """with o as (select l_orderkey doc, l_linenumber pos from lineitem where l_linenumber % 3 = 1), c as (select l_orderkey doc, l_linenumber pos from lineitem where l_linenumber % 3 = 0),
+x as (select o.doc, o.pos, (select min(c.pos) from c where c.doc = o.doc and c.pos > o.pos) e from o)
+select doc, min(pos) start, e as end from x where e is not null group by doc, e""")
+
+
+def _covered(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))
+    at = lambda rows: rows.select("file", "n", (F.col("q") * 10).alias("lo"), (F.col("q") * 10 + 10).alias("hi"))
+    return relations.covered(at(li.where("n % 2 = 1")), at(li.where("n % 2 = 0"))).groupBy("file").agg(F.count("*").alias("kept"))
+
+
+add("covered_ranges", _covered, """with r as (select l_orderkey as file, l_linenumber n, (l_quantity::int) * 10 lo, (l_quantity::int) * 10 + 10 hi from lineitem)
+select file, count(*) kept from r a where n % 2 = 1 and exists (select 1 from r b where b.file = a.file and b.n % 2 = 0 and a.lo < b.hi and b.lo < a.hi) group by file""")
+
+
+def _effort(spark, sf):
+    d = F.col("doc_id")
+    rows = table(spark, sf, "documents").select((d % 50).alias("key"), d.alias("attempt"), (d % 7 == 0).alias("passed"), ((d % 11) / 4).alias("detector_score"), ((d % 5) / 5).alias("divergence"))
+    return compare.best_effort(rows, "key", "attempt").select("key", "attempt")
+
+
+add("best_effort", _effort, """with r as (select doc_id % 50 as key, doc_id attempt, doc_id % 7 = 0 passed, (doc_id % 11) / 4 s, (doc_id % 5) / 5 dv from documents),
+n as (select *, row_number() over (partition by key order by passed desc, case when passed then -attempt end, s, dv desc, attempt) i from r) select key, attempt from n where i = 1""")
+add("token_id_input", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(F.transform(gumbel.parse_token_ids(F.when(F.col("doc_id") % 3 == 0, F.format_string("[%d, 18446744073709551615]", "doc_id")).when(F.col("doc_id") % 3 == 1, F.format_string("0x%x\n%d", "doc_id", "doc_id")).otherwise("x")), lambda x: x.cast("string")), ",").alias("ids")),
+    "select doc_id, case doc_id % 3 when 0 then doc_id || ',18446744073709551615' when 1 then doc_id || ',' || doc_id end ids from documents")
+add("sitemaps_in_robots", lambda s, d: table(s, d, "pages").select("page_id", F.concat_ws("|", files.sitemaps_in_robots(F.concat(F.lit("User-agent: *\nSitemap: "), F.col("url"), F.lit("\nsitemap:https://a.example/s.xml\n#Sitemap: no\n")))).alias("maps")), "select page_id, url || '|https://a.example/s.xml' maps from pages")
+add("public_addresses", lambda s, d: table(s, d, "documents").select("doc_id", files.is_public_address_udf()(F.get(F.array(*map(F.lit, ADDRESSES)), (F.col("doc_id") % len(ADDRESSES)).cast("int"))).alias("public")),
+    "select doc_id, case doc_id % 8 when 0 then true when 5 then true when 7 then null else false end public from documents")
+ADDRESSES = ("8.8.8.8", "10.0.0.1", "127.0.0.1", "169.254.1.1", "::1", "2606:4700::1111", "::ffff:192.168.0.1", "example.org")
+add("option_whitelist", lambda s, d: table(s, d, "documents").select("doc_id", F.to_json(files.allowed_options(F.create_map(F.lit("nfkc"), F.when(F.col("doc_id") % 2 == 0, "TRUE").otherwise("maybe"), F.lit("path"), F.lit("true")))).alias("options")), """select doc_id, case when doc_id % 2 = 0 then '{"nfkc":true}' else '{}' end as options from documents""")

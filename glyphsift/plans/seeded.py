@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
+
 CARRIERS = (0x200B, 0xAD, 0x202E, 0xE0041, 0xFEFF, 0xA0, 0x3000, 0xE000, 0xFDD0, 0x430, 0xFF21)
 PHRASE = " Furthermore, it is important to note the rich tapestry of ideas, a testament to a paradigm shift."
 FENCE = "\n```\nsome code here. More code.\n```\nDone with it."
@@ -15,7 +17,7 @@ HEADS = (
 
 def documents(spark, sf_dir: str) -> DataFrame:
     """documents with text seeded: a carrier, or none, for each residue of the id; phrases and a fence for some."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     k = (F.lit(10) + F.col("doc_id") % 7).cast("int")
     carrier = F.coalesce(F.get(F.array(*[F.lit(chr(c)) for c in CARRIERS]), (F.col("doc_id") % (len(CARRIERS) + 1)).cast("int")), F.lit(""))
     text = F.concat(F.left("text", k), carrier, F.substr("text", k + 1))
@@ -24,7 +26,7 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 
 def pages(spark, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = table(spark, sf_dir, "pages")
     head = F.get(F.array(*map(F.lit, HEADS)), (F.col("page_id") % len(HEADS)).cast("int"))
     return rows.withColumn("html", F.concat(head, F.col("html")))
 

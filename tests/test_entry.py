@@ -17,7 +17,7 @@ def test_entry_and_names(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["stylometry_score", "char_kind_counts", "audit_summary_by_kind", "html_audit_summary", "bench_aggregate", "gumbel_masking_counts"])
+@pytest.mark.parametrize("name", ["stylometry_score", "char_kind_counts", "audit_summary_by_kind", "html_audit_summary", "bench_aggregate", "gumbel_masking_counts", "gumbel_p_value", "clean_text_exact", "carriers_in_context", "audit_text_items", "html_clean", "file_items", "file_clean_reinspect", "package_text_runs"])
 def test_some_queries_equal_their_sql(spark, name):
     import duckdb
 
