@@ -46,11 +46,7 @@ def file_items(files: DataFrame, check_stylometry: bool = False) -> DataFrame:
     Text goes through the exact scan, images, audio and video, packages and PDF through theirs, HTML, Markdown and SVG
     through theirs and, but for SVG, the exact scan of their body. What isn't known is 'unknown' without findings.
     """
-    wanted = F.col("path"), F.col("content")
-    return _file_items(files.select("path", "content", formats.classify(*wanted).alias("_kind")), check_stylometry)
-
-
-def _file_items(files: DataFrame, check_stylometry: bool) -> DataFrame:
+    files = files.select("path", "content", formats.classify(F.col("path"), F.col("content")).alias("_kind"))
     ext = formats.extension(F.col("path"))
     box = F.when(F.col("_kind") == "container", F.coalesce(formats.container_format(F.col("content"), ext), F.lit("unknown")))
     markup_kind = box.isin("html", "markdown", "svg")
@@ -81,8 +77,7 @@ def _file_items(files: DataFrame, check_stylometry: bool) -> DataFrame:
         found, level = (F.when(high, F.concat(x, F.array(y))).otherwise(x) for x, y in ((found, style_finding()), (level, F.lit("probable"))))
         total = total + high.cast("int")
     shown = F.when(F.col("_kind").isin("image", "av"), F.coalesce(F.col("_r.format"), kind)).otherwise(kind)
-    out = rows.select("path", shown.alias("kind"), c2pa.alias("has_c2pa"), ai.alias("has_ai_metadata"), total.alias("suspicious_total"), found.alias("findings"), level.alias("confidence"))
-    return out.where(F.col("kind") != "unknown").unionByName(rows.where(kind == "unknown").select("path", F.lit("unknown").alias("kind"), no.alias("has_c2pa"), no.alias("has_ai_metadata"), F.lit(0).alias("suspicious_total"), none.alias("findings"), none.alias("confidence")))
+    return rows.select("path", shown.alias("kind"), c2pa.alias("has_c2pa"), ai.alias("has_ai_metadata"), total.alias("suspicious_total"), found.alias("findings"), level.alias("confidence"))
 
 
 def html_items(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
