@@ -83,7 +83,9 @@ def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     Combinations are counted, sorted by ranges and numbered within these; the ranges' totals alone reach the driver.
     """
     found = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    found = stored(found.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "combinations")
+    # A fixed number of ranges isn't merged: what is numbered in one task stays a share of the whole.
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stored(found.repartitionByRange(ranges, *by).withColumn("_part", F.spark_partition_id()), "combinations")
     totals = sorted(found.groupBy("_part").agg(F.sum("_n").alias("n")).collect())
     starts, total = [], 0
     for part, n in totals:
