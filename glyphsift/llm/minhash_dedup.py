@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .common import NO_ID, discard, free_name, sized_broadcast, sliced, stored, whole_id
+from .common import NO_ID, discard, free_name, sized_broadcast, sliced, small_batches, stored, whole_id
 
 WORDS, REGISTERS, ROWS, THRESHOLD = 3, 192, 4, 0.5
 #: Bytes of text hashed at once.
@@ -208,7 +208,8 @@ def _verified(pairs: DataFrame, blobs: DataFrame, name: str) -> DataFrame:
     """pairs (_a, _b) with their exact similarity _s."""
     side = lambda x, n: blobs.select(F.struct("_d", "_t").alias(x), F.col("_v").alias(f"_v{n}"), F.col("_w").alias(f"_w{n}"))
     both = pairs.join(side("_b", 2), "_b").join(side("_a", 1), "_a")
-    return stored(both.select("_a", "_b", _similarity("_v1", "_w1", "_v2", "_w2").alias("_s")), name)
+    with small_batches(pairs.sparkSession):
+        return stored(both.select("_a", "_b", _similarity("_v1", "_w1", "_v2", "_w2").alias("_s")), name)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,7 +256,8 @@ def _edges(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     placed = nodes.select("_n", F.explode("_bands").alias("_h")).withColumn("_c", F.count("*").over(bucket)).where(F.col("_c") > 1)
     placed = stored(placed.select("_h", "_n", F.min("_n").over(bucket).alias("_l")), "buckets")
     wanted = placed.select("_n._d", "_n._t").distinct()
-    blobs = stored(docs.join(wanted, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).mapInPandas(_shingle_blobs, "_d long, _t long, _v binary, _w binary"), "shingles")
+    with small_batches(docs.sparkSession):
+        blobs = stored(docs.join(wanted, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).mapInPandas(_shingle_blobs, "_d long, _t long, _v binary, _w binary"), "shingles")
     others = placed.where(F.col("_n") != F.col("_l"))
     first = _verified(others.select(F.col("_l").alias("_a"), F.col("_n").alias("_b")).distinct(), blobs, "verified")
     like = others.join(first.select(F.col("_a").alias("_l"), F.col("_b").alias("_n"), "_s"), ["_l", "_n"]).select("_h", "_n", "_s")
@@ -271,7 +273,8 @@ def _edges(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 def _members(df: DataFrame, id_col: str, text_col: str, threshold: float, registers: int, rows: int) -> DataFrame:
     """(_d, _t, _root, _kept) for each row of df in a group of two rows or more, _root the smallest (_d, _t) of it."""
     docs = _keyed(df, id_col, text_col)
-    signed = stored(docs.mapInPandas(_signatures(registers, rows), "_d long, _t long, _k string, _bands array<long>"), "signatures")
+    with small_batches(df.sparkSession):
+        signed = stored(docs.mapInPandas(_signatures(registers, rows), "_d long, _t long, _k string, _bands array<long>"), "signatures")
     # Texts of the same words are one node: thousands of copies cost one signature from here on.
     nodes = stored(signed.groupBy("_k").agg(F.min(F.struct("_d", "_t")).alias("_n"), F.min_by("_bands", F.struct("_d", "_t")).alias("_bands")), "nodes")
     edges = _edges(docs, nodes, threshold)
