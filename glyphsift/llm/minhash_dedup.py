@@ -45,7 +45,23 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(raw) <= CHUNK:
         sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWER[: len(raw)], dtype=np.uint64)])
         return mixed((sums[end] - sums[start]) * _INVERSE[start] + (end - start).astype(np.uint64)), start
-    return np.array([int(word_hashes(data[a:b])[0][0]) if b - a <= CHUNK else hash_long(data[a:b]) for a, b in zip(start, end)], dtype=np.uint64), start
+    hashes, starts, lo = [], [], 0
+    while lo < len(raw):  # slices that end between words
+        hi = min(lo + CHUNK, len(raw))
+        gaps = np.flatnonzero(~wordy[lo:hi])
+        if hi < len(raw) and len(gaps):
+            hi = lo + int(gaps[-1]) + 1
+        elif hi < len(raw):
+            hi = int(end[np.searchsorted(end, hi)])
+        if hi - lo > CHUNK:
+            hashes.append(np.array([hash_long(data[lo:hi])], dtype=np.uint64))
+            starts.append(np.array([lo]))
+        else:
+            own, at = word_hashes(data[lo:hi])
+            hashes.append(own)
+            starts.append(at + lo)
+        lo = hi
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def hash_long(word: bytes) -> int:
