@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
+
 ROLES = ("system", "user", "assistant")
 ALIASES = {
     "system": "system", "sys": "system", "instruction": "system", "context": "system",
@@ -206,7 +208,7 @@ def chat_format(df: DataFrame, model: Model, id_col: str = "conv_id", text_col:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All conversations, as transcripts, parsed by a model that has seen the true roles of one in LEARN_ONE_IN."""
-    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    conversations = table(spark, sf_dir, "conversations")
     learned = conversations.where(F.pmod(F.xxhash64("conv_id"), F.lit(LEARN_ONE_IN)) == 0)
     return chat_format(transcripts(conversations), train(learned if learned.head(1) else conversations))
 
@@ -214,7 +216,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def words_query(spark, sf_dir: str) -> DataFrame:
     """What SQL can check of it: that each conversation has its chat, and that the chat holds all words of its turns."""
     count = lambda t: F.regexp_count(t, F.lit("[^ \\t\\n\\r\\f]+"))
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.length(F.trim("text")) > 0)
+    rows = table(spark, sf_dir, "conversations").where(F.length(F.trim("text")) > 0)
     own = rows.groupBy("conv_id").agg(F.sum(count("text")).alias("words"))
     out = query(spark, sf_dir).join(own, "conv_id")
     return out.select("conv_id", "words", (count("chat") - 2 * F.col("n_turns") >= F.col("words")).alias("whole"), (F.col("n_turns") > 0).alias("has_turns"))

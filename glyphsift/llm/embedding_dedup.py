@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
 from .common import stored, whole_id
 
 THRESHOLD = 0.95
@@ -125,7 +126,7 @@ def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    pairs = near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    pairs = near_pairs(table(spark, sf_dir, "embeddings"))
     return pairs.withColumn("similarity", F.round("similarity", 4))
 
 

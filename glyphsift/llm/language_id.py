@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import table
 from .common import spans
 
 #: Units a direction; bytes of a window; bytes read before and after a window to bring the states in; windows side by side.
@@ -255,7 +256,7 @@ def _labelled(model: Model | None, texts: pd.Series) -> pd.DataFrame:
 
 def bytes_query(spark, sf_dir: str) -> DataFrame:
     """What SQL can check of it: how many bytes of each document were labelled, and whether the answer is a language of the table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     known = F.broadcast(docs.select(F.col("lang").alias("language")).distinct().withColumn("known", F.lit(True)))
     out = query(spark, sf_dir).join(known, "language", "left")
     return out.select("doc_id", "n_bytes", (F.col("known").isNotNull() | (F.col("language") == "und")).alias("known_language"))
@@ -265,5 +266,5 @@ BYTES_ORACLE = "select doc_id, coalesce(octet_length(encode(text)), 0)::bigint n
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id(docs, train(docs))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import table
 from .common import discard, free_name, sized_broadcast, stored, whole_id
 
 #: A run of lines is deleted as a copy if it has at least so many words.
@@ -175,7 +176,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 #: The same by definition, without a suffix array: all shortest stretches of 50 words by their text, the first stays.

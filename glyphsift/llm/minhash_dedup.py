@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from ..sources.tables import table
 from .common import NO_ID, discard, free_name, sized_broadcast, sliced, small_batches, stored, whole_id
 
 WORDS, REGISTERS, ROWS, THRESHOLD = 3, 192, 4, 0.5
@@ -347,12 +348,12 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def copies_query(spark, sf_dir: str) -> DataFrame:
     """What SQL can check of it: each exact copy of a text with words, and that it shares a group with the first of them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5("text").alias("k")).where(F.col("text").rlike("[A-Za-z]"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k")).where(F.col("text").rlike("[A-Za-z]"))
     first = docs.groupBy("k").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
     groups = stored(query(spark, sf_dir), "groups")
     pairs = docs.join(first, "k").join(groups.select("doc_id", "group_id", "kept"), "doc_id", "left")

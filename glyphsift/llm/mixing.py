@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import table
 from .common import discard, free_name, sized_broadcast, stored
 from .packing import word_count
 
@@ -241,12 +242,12 @@ def mixed_documents(df: DataFrame, weights: Mapping[str, float] | None = None, b
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def quotas_query(spark, sf_dir: str) -> DataFrame:
     """What SQL can check of it: each source's quota, and that the mixture meets it to within a document a pattern and epoch."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     units = _units(docs, SEED, "doc_id", "text", "source", None)
     plan = _plan(units, None, None, MAX_EPOCHS)
     wanted = {}

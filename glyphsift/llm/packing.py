@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import table
 from .common import stored
 
 CAPACITY = 2048
@@ -168,7 +169,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pieces_query(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
+
 #: Rows of the sample that orders the rules, how often a timed run reads them, and timed runs of a rule after a warm-up.
 #: They change which rule runs first, never the outcome.
 SAMPLE_ROWS, COPIES, RUNS = 1000, 4, 3
@@ -131,7 +133,7 @@ def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 REJECTED_SQL = r"""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import table
 from .common import stored
 
 SHARDS, VNODES, EPSILON = 64, 128, 0.05
@@ -132,7 +133,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnod
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
+    return assign_shards(table(spark, sf_dir, "documents").select("doc_id"))
 
 
 def homes_query(spark, sf_dir: str) -> DataFrame:

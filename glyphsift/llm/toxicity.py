@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
 from .common import discard, sized_broadcast, spans, stored, whole_id
 
 #: Length of the longest character n-grams, and of the longest whose counts both classes share.
@@ -347,12 +348,12 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 def words_query(spark, sf_dir: str) -> DataFrame:
     """What SQL can check of it: whether a document has words and a score, and that its expression is a word of it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("low"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
     out = query(spark, sf_dir).join(docs, "doc_id")
     holds = F.col("low").contains(F.col("expression")) | (F.col("n_words") == 0)
     return out.select("doc_id", (F.col("n_words") > 0).alias("has_words"), F.col("score").isNotNull().alias("scored"), F.coalesce(holds, F.lit(False)).alias("expression_found"))
