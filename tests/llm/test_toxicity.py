@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from glyphsift.llm.toxicity import START, END, best_cut, build, grams_of, settle, toxicity
+from glyphsift.llm import toxicity as whole
+from glyphsift.llm.toxicity import SHARES, START, END, best_cut, build, grams_of, settle, settle_apart, toxicity, train
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -98,6 +99,46 @@ def test_thresholds():
     assert (at, own) == (1, {}) and cut == pytest.approx(0.15)
 
 
+def test_every_labelled_document_teaches_and_settles(spark, make_docs, corpus, monkeypatch):
+    rows, labels = corpus
+    seen = []
+    monkeypatch.setattr(whole, "settle", lambda scores, classes, toxic: seen.append((scores, toxic)) or settle(scores, classes, toxic))
+    told = spark.createDataFrame(labels[:60], LABELS)
+    judge = train(make_docs(rows), told)
+    known = set(judge.model.levels[-1].grams.tolist())
+    for _, text in rows[:60]:
+        grams = [g for w in text.lower().split() for g in grams_of(w)]
+        assert set(whole._suffix_hashes(whole._codes(grams, 5))[5].tolist()) <= known
+    ((scores, toxic),) = seen
+    assert scores.shape == (60, len(SHARES)) and toxic.sum() == sum(x[2] for x in labels[:60])
+    apart = train(make_docs(rows), told, driver_rows=0)
+    assert (apart.share, apart.cut, apart.by_class) == (judge.share, judge.cut, judge.by_class)
+
+
+def test_a_model_built_apart_as_on_the_driver(spark):
+    rng = random.Random(5)
+    counts = {g: (rng.randint(0, 3), rng.randint(0, 2)) for _ in range(60) for g in grams_of("".join(rng.choice("abcé𝒳") for _ in range(rng.randint(1, 6))))}
+    df = spark.createDataFrame([(g, *n) for g, n in counts.items() if any(n)], "g string, o long, t long")
+    here, apart = build(df), build(df, driver_grams=0)
+    assert (here.letters, here.order) == (apart.letters, apart.order)
+    for a, b in zip(here.levels, apart.levels, strict=True):
+        assert (a.grams == b.grams).all() and (a.contexts == b.contexts).all()
+        assert np.allclose(a.share, b.share, rtol=1e-6) and np.allclose(a.weight, b.weight, rtol=1e-6)
+
+
+def test_scores_settled_apart_as_together(spark):
+    rng = np.random.default_rng(4)
+    toxic = rng.integers(0, 2, 400)
+    scores = np.round(rng.normal(size=(400, len(SHARES))) * 0.01 + 0.02 * toxic[:, None] * rng.uniform(0, 1, len(SHARES)), 4)
+    classes = rng.choice([0, 1, 2, 3], 400, p=[0.5, 0.4, 0.05, 0.05])
+    kind = "toxic long, c int, s array<double>"
+    for at in (slice(None), slice(0, 90), slice(0, 5)):
+        for t in (toxic[at], toxic[at] * 0, toxic[at] * 0 + 1):
+            df = spark.createDataFrame(list(zip(t.tolist(), classes[at].tolist(), scores[at].tolist())), kind)
+            assert settle_apart(df) == settle(scores[at], classes[at], t)
+    assert settle_apart(spark.createDataFrame([], kind)) == (0, float("inf"), {})
+
+
 def test_large_ids_beside_null(spark, make_docs, corpus):
     rows, labels = corpus
     big = 9007199254740993
