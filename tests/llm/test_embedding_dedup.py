@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from glyphsift.llm.embedding_dedup import near_pairs, quantise, tile_pairs
+from glyphsift.llm import embedding_dedup
+from glyphsift.llm.embedding_dedup import near_groups, near_pairs, quantise, tile_pairs
 
 KIND = "vec_id long, embedding array<float>, label int"
 
@@ -63,3 +64,45 @@ def test_odd_rows_make_no_pairs_and_repeats_pair(spark):
 def test_clashing_columns_play_no_part(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1, 2, "x"), (2, [1.0, 0.01], 3, 4, "y")], "vec_id long, embedding array<float>, _id long, id_a long, similarity string")
     assert [(r.id_a, r.id_b) for r in near_pairs(df).collect()] == [(1, 2)]
+
+
+def groups_of(rows, threshold):
+    """{n: (group, links)} of rows (id, vector), from all pairs."""
+    x = np.array([v for _, v in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= threshold) & ~np.eye(len(x), dtype=bool)
+    least = np.array([i for i, _ in rows])
+    for _ in rows:
+        least = np.minimum(least, np.where(near, least[None, :], least.max()).min(axis=1))
+    return sorted(zip((i for i, _ in rows), least.tolist(), near.sum(axis=1).tolist()))
+
+
+def test_groups_and_links_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 24))
+    near = base[rng.integers(0, 40, 120)] + rng.normal(size=(120, 24)) * rng.uniform(0, 0.5, (120, 1))
+    x = np.concatenate([base, near, near[:30], base[:3], base[:3]]).astype(np.float32)
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)) + 5, x)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], KIND)
+    for threshold, tile in ((0.8, 30), (0.95, 30), (0.95, 1000)):
+        got = near_groups(df, threshold=threshold, tile_rows=tile).collect()
+        assert sorted(map(tuple, got)) == groups_of(rows, threshold)
+
+
+def test_one_row_for_each_vector_however_many_pairs(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    chain = [[float(np.cos(a)), float(np.sin(a))] for a in np.arange(40) * 0.2]
+    vectors = [*chain, *[[1.0, 0.0]] * 30, [0.0, 0.0], None, [], [1.0, None], [1.0, 1.0, 1.0]]
+    rows = [(int(i), v, 0) for i, v in zip(rng.permutation(len(vectors)), vectors)] + [(None, [1.0, 0.0], 0), (3, [0.0, 1.0], 0)]
+    spark.createDataFrame(rows, KIND).write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = embedding_dedup.query(spark, str(tmp_path))
+    got = sorted(map(tuple, df.collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert df.columns == ["vec_id", "group_id", "links"] and len(got) == len(rows)
+    assert got == sorted(con.execute(embedding_dedup.ORACLE).fetchall(), key=repr)
+    assert near_groups(spark.createDataFrame([], KIND)).collect() == []
+    with pytest.raises(ValueError):
+        near_groups(spark.createDataFrame([], KIND), threshold=0)
