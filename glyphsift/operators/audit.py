@@ -28,7 +28,7 @@ def text_items(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     sure = F.transform("_hits", lambda h: h["confidence"])
     total = F.aggregate("_hits", F.lit(0), lambda a, h: a + h["count"])
     if check_stylometry:
-        high = F.coalesce(F.col("score") >= GATE, F.lit(False))
+        high = F.coalesce(reaches_gate(F.col("score")), F.lit(False))
         said = F.when(high, F.concat(said, F.array(style_finding()))).otherwise(said)
         sure = F.when(high, F.concat(sure, F.array(F.lit("probable")))).otherwise(sure)
         total = total + high.cast("int")
@@ -36,6 +36,11 @@ def text_items(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     return both.select(F.col(id_col).cast("string").alias("path"), F.lit("text").alias("kind"), no.alias("has_c2pa"), no.alias("has_ai_metadata"), total.alias("suspicious_total"), said.alias("findings"), sure.alias("confidence"))
 
 
+def reaches_gate(score: Column) -> Column:
+    """Whether a score is at the gate as it is reported, with four places."""
+    return F.round(score, 4) >= GATE
+
+
 def style_finding() -> Column:
     return F.format_string("stylometry [high_probability] score %.2f (%s)", "score", "confidence_level")
 
@@ -73,7 +78,7 @@ def file_items(files: DataFrame, check_stylometry: bool = False) -> DataFrame:
     total = F.aggregate(hits, F.lit(0), lambda a, h: a + h["count"])
     found, level = F.concat(own, said), F.concat(F.transform(own, confidence), sure)
     if check_stylometry:
-        high = F.coalesce((F.col("score") >= GATE) & ~F.coalesce(svg, no), no)
+        high = F.coalesce(reaches_gate(F.col("score")) & ~F.coalesce(svg, no), no)
         found, level = (F.when(high, F.concat(x, F.array(y))).otherwise(x) for x, y in ((found, style_finding()), (level, F.lit("probable"))))
         total = total + high.cast("int")
     shown = F.when(F.col("_kind").isin("image", "av"), F.coalesce(F.col("_r.format"), kind)).otherwise(kind)
@@ -93,7 +98,7 @@ def is_suspicious(score: Column | None = None, detectors: Column | None = None)
     """The service's flag: any carrier or metadata, a high stylometric score, or a detector that is there and says so."""
     out = (F.col("suspicious_total") > 0) | F.col("has_c2pa") | F.col("has_ai_metadata")
     if score is not None:
-        out = out | F.coalesce(score >= GATE, F.lit(False))
+        out = out | F.coalesce(reaches_gate(score), F.lit(False))
     if detectors is not None:
         out = out | F.coalesce(F.exists(detectors, lambda d: d["available"] & d["is_watermarked"]), F.lit(False))
     return out

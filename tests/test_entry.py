@@ -50,3 +50,25 @@ def test_token_digest_covers_whole_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert {i: (n, x) for i, n, x in con.execute(catalogue.ORACLE_SQL["token_digest"]).fetchall()} == got
+
+
+def equal_their_sql(spark, tmp_path, rows, *names):
+    """Whether the queries over documents of these rows give what their SQL gives; their rows are returned."""
+    import duckdb
+
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    out = {}
+    for name in names:
+        df = entry.queries()[name](spark, str(tmp_path))
+        out[name] = sorted(map(tuple, df.collect()), key=repr)
+        assert out[name] == sorted(con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall(), key=repr), name
+    return out
+
+
+def test_a_score_that_rounds_to_the_gate_counts(spark, tmp_path):
+    text = " ".join(f"word{i % 20}" for i in range(57))  # 74 words of one sentence with the phrases: 0.64997
+    got = equal_their_sql(spark, tmp_path, [(35, text), (36, text), (37, None), (40, "")], "audit_text_items")
+    assert [r[1] for r in got["audit_text_items"] if r[0] == "35"] == [1] and len(got["audit_text_items"]) == 3
