@@ -54,6 +54,17 @@ def test_gif_tiff_bmp_id3():
     assert [(r[0], r[3]) for r in binary.id3_frames(id3)] == [("TSSE", b"\0Lavf5")]
 
 
+def test_records_of_small_files_go_together_and_large_ones_in_parts():
+    import pyarrow as pa
+
+    files_ = pa.RecordBatch.from_pydict({"path": [*map(str, range(300)), "none", "large"], "content": [PNG] * 300 + [None, PNG[:-12] + 5 * chunk(b"eXIf", bytes(binary.GATHERED_BYTES)) + PNG[-12:]]})
+    got = list(binary.gathering(binary.png_chunks)(iter([files_])))
+    assert sum(b.num_rows for b in got) == 300 * 6 + 11 and len(got) == 7
+    assert max(b.nbytes for b in got) < binary.GATHERED_BYTES * 1.2
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["ord"] for r in rows if r["path"] == "large"] == list(range(11)) and [r["type"] for r in rows[:6]] == ["IHDR", "tEXt", "zTXt", "iTXt", "caBX", "IEND"]
+
+
 def test_zip_budget():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
