@@ -72,3 +72,23 @@ def test_a_score_that_rounds_to_the_gate_counts(spark, tmp_path):
     text = " ".join(f"word{i % 20}" for i in range(57))  # 74 words of one sentence with the phrases: 0.64997
     got = equal_their_sql(spark, tmp_path, [(35, text), (36, text), (37, None), (40, "")], "audit_text_items")
     assert [r[1] for r in got["audit_text_items"] if r[0] == "35"] == [1] and len(got["audit_text_items"]) == 3
+
+
+@pytest.mark.parametrize("name", ["stylometry_score", "zip_members"])
+def test_workers_get_small_batches(spark, tmp_path, name):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    rows = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    spark.createDataFrame([(1, "a", "en", "web", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        entry.queries()[name](spark, str(tmp_path))
+        assert spark.range(0, 2500, 1, 1).select(rows("id").alias("n")).agg(F.max("n")).first()[0] == 1000
+        spark.conf.set(key, "500")
+        entry.queries()[name](spark, str(tmp_path))
+        assert spark.conf.get(key) == "500"
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
