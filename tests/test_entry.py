@@ -74,7 +74,7 @@ def test_a_score_that_rounds_to_the_gate_counts(spark, tmp_path):
     assert [r[1] for r in got["audit_text_items"] if r[0] == "35"] == [1] and len(got["audit_text_items"]) == 3
 
 
-@pytest.mark.parametrize("name", ["stylometry_score", "clean_text_exact", "classify_files", "zip_members"])
+@pytest.mark.parametrize("name", ["stylometry_score", "clean_text_exact", "classify_files", "media_audit_summary", "zip_members"])
 def test_workers_get_small_batches(spark, tmp_path, name):
     import pandas as pd
     from pyspark.sql import functions as F
