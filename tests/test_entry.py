@@ -114,3 +114,15 @@ def test_a_replay_costs_less_than_two_hmacs_a_token():
 
     assert least(lambda: gumbel.detect_packed(ids, key)) < least(lambda: [both(*p) for p in pairs])
     assert gumbel._uniforms(pairs[:50], key) == [both(*p)[:8] for p in pairs[:50]]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+ODD = [(0, "the cat sat 一二 \U0001f600 the end. " * 3), (1, ""), (2, "x"), (3, "ар ­​　" * 12), (4, "The dog $1 \\ the été " * 30), (8, "\U0001f600" * 4 + "\U000e0041﻿" * 6), (11, "a b"), (22, "plain words alone " * 9)]
+
+
+def test_best_candidate_without_lambdas_of_words(spark, tmp_path):
+    equal_their_sql(spark, tmp_path, ODD, "best_candidate", "lexical_divergence_pairs")
+    assert "lambda" not in plan_of(entry.queries()["best_candidate"](spark, str(tmp_path)))
