@@ -126,3 +126,14 @@ ODD = [(0, "the cat sat 一二 \U0001f600 the end. " * 3), (1, ""), (2, "x"), (
 def test_best_candidate_without_lambdas_of_words(spark, tmp_path):
     equal_their_sql(spark, tmp_path, ODD, "best_candidate", "lexical_divergence_pairs")
     assert "lambda" not in plan_of(entry.queries()["best_candidate"](spark, str(tmp_path)))
+
+
+def test_chunks_of_many_files_go_together(spark, tmp_path):
+    import pyarrow as pa
+
+    from glyphsift.plans import binary_queries
+    from glyphsift.sources import binary
+
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(900)], "content": [binary_queries._png("text", i) for i in range(900)]})
+    assert [b.num_rows for b in binary.gathering(binary.png_chunks)(iter([batch]))] == [1000, 1000, 1000, 300]
+    equal_their_sql(spark, tmp_path, ODD, "png_chunks", "zip_members")
