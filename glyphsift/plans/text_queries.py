@@ -95,12 +95,8 @@ ANY_CLASS = "|".join(KIND_CLASSES.values())
 
 
 def _hits(spark, sf):
-    docs = seeded.documents(spark, sf).where(F.col("text").rlike(ANY_CLASS))
-    chars = docs.select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "ch")).where(F.col("ch").rlike(f"^(?:{ANY_CLASS})$"))
-    kind = F.lit("space")
-    for k, c in KIND_CLASSES.items():
-        kind = F.when(F.col("ch").rlike(c), k).otherwise(kind)
-    return chars.select("doc_id", "pos", "ch", kind.alias("kind"))
+    found = seeded.documents(spark, sf).select("doc_id", F.explode(layer_a.places_udf()("text")).alias("h"))
+    return found.select("doc_id", "h.pos", "h.ch")
 
 
 _chars_sql = f"""with {DOCUMENTS_SQL}, ch as (select doc_id, unnest(string_split(text, '')) ch, generate_subscripts(string_split(text, ''), 1) - 1 pos from docs),

@@ -137,3 +137,8 @@ def test_chunks_of_many_files_go_together(spark, tmp_path):
     batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(900)], "content": [binary_queries._png("text", i) for i in range(900)]})
     assert [b.num_rows for b in binary.gathering(binary.png_chunks)(iter([batch]))] == [1000, 1000, 1000, 300]
     equal_their_sql(spark, tmp_path, ODD, "png_chunks", "zip_members")
+
+
+def test_code_points_without_a_row_of_each_character(spark, tmp_path):
+    equal_their_sql(spark, tmp_path, ODD, "top_codepoints")
+    assert "split(" not in plan_of(entry.queries()["top_codepoints"](spark, str(tmp_path)))
