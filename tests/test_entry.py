@@ -142,3 +142,9 @@ def test_chunks_of_many_files_go_together(spark, tmp_path):
 def test_code_points_without_a_row_of_each_character(spark, tmp_path):
     equal_their_sql(spark, tmp_path, ODD, "top_codepoints")
     assert "split(" not in plan_of(entry.queries()["top_codepoints"](spark, str(tmp_path)))
+
+
+def test_offsets_without_a_row_of_each_character(spark, tmp_path):
+    got = equal_their_sql(spark, tmp_path, ODD, "first_offsets")["first_offsets"]
+    assert max(r[2] for r in got) == 12 and max(len(r[3].split(",")) for r in got) == 10
+    assert "split(" not in plan_of(entry.queries()["first_offsets"](spark, str(tmp_path)))
