@@ -148,3 +148,8 @@ def test_offsets_without_a_row_of_each_character(spark, tmp_path):
     got = equal_their_sql(spark, tmp_path, ODD, "first_offsets")["first_offsets"]
     assert max(r[2] for r in got) == 12 and max(len(r[3].split(",")) for r in got) == 10
     assert "split(" not in plan_of(entry.queries()["first_offsets"](spark, str(tmp_path)))
+
+
+def test_cleaning_takes_plain_runs_whole(spark, tmp_path):
+    equal_their_sql(spark, tmp_path, ODD, "clean_reinspect_zero", "clean_context_free", "clean_text_exact")
+    assert "\\x{34e}]+" in plan_of(entry.queries()["clean_context_free"](spark, str(tmp_path)))
