@@ -24,6 +24,16 @@ def test_similarity_by_definition():
         assert np.isclose(probability_jaccard(pack(a), pack(b)), exact(a, b))
 
 
+def test_only_what_takes_a_register_is_sorted(monkeypatch):
+    rng, sizes, sort = np.random.default_rng(2), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: (sizes.append(len(keys[0])), sort(keys))[1])
+    value, doc = np.sort(rng.integers(0, 1 << 62, 20_000).astype(np.uint64)), np.zeros(20_000, dtype=np.int64)
+    sign = prob_minhash(doc, value, np.ones(20_000, dtype=np.int64), 1)
+    assert np.isin(sign, value).all() and sign.shape == (1, 192) and max(sizes) <= 192
+    order = rng.permutation(20_000)
+    assert (prob_minhash(doc, value[order], np.ones(20_000, dtype=np.int64), 1) == sign).all()
+
+
 def test_registers_agree_as_often_as_the_similarity_says():
     rng = np.random.default_rng(1)
     both = rng.integers(0, 1 << 62, 60).astype(np.uint64)
