@@ -163,3 +163,16 @@ def test_odd_rows(spark, odd_docs, make_docs, corpus):
     assert toxicity(odd_docs.limit(0), told).collect() == []
     clash = spark.createDataFrame([(1, "a b", "x", 1)], "doc_id long, text string, toxic string, _d int")
     assert toxicity(clash, told).columns == ["doc_id", "n_words", "mean_ratio", "score", "expression", "toxic"]
+
+
+def test_words_of_null_texts_and_repeated_ids_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "good words here"), (1, "bad words there"), (2, None), (None, "no id"), (3, ""), (4, "7 8"), (5, "\u00c9t\u00e9")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (4, 1, 1), (5, 1, 0)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    out = whole.words_query(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(con.execute(whole.WORDS_ORACLE).fetchall(), key=repr)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
